@@ -81,6 +81,16 @@ class FileStore:
         options[0] = rename.OVERWRITE
         context.rename(fresh, self._path(name), options)
 
+    def write_bytes(self, name: str, data: bytes) -> str:
+        """Write a new file; its full path."""
+        path = self._path(name)
+        stream = path.getFileSystem(self._conf).create(path, True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        return f"{self.root}/{name}"
+
     def remove(self, name: str) -> None:
         path = self._path(name)
         path.getFileSystem(self._conf).delete(path, True)
