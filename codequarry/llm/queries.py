@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import packing, splitting, tokens
+from codequarry.llm import docpairs, packing, splitting, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, folder, "chunks"))
+
+
+def p7_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return docpairs.function_pairs(table(spark, folder, "chunks"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -40,6 +48,8 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p7_found": p7_found,
+    "p7_pairs": p7_pairs,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_report": p9_report,
