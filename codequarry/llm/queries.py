@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import docpairs, packing, splitting, tokens
+from codequarry.llm import docpairs, packing, splitting, tokens, truncation
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,14 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_report(p9_containers(spark, folder))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents")).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
@@ -53,6 +61,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 ORACLE = {

@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from codequarry.llm.lexicon import Lexicon, compile_words, to_bytes
-from codequarry.plans.workspace import FileStore, new_folder
+from codequarry.plans.workspace import FileStore, materialised, new_folder
 
 #: Size bound of the lexicon.
 LEXICON_WORDS = 65_536
@@ -94,7 +94,14 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def build_lexicon(docs: DataFrame, text: str = "text", ranks: str = RANKS_FILE, words: int = LEXICON_WORDS) -> str:
     """Count the corpus, compile its most frequent words, hand the files to all executors; the name they are found under."""
     spark = docs.sparkSession
-    frequent = [r["word"] for r in word_counts(docs, text).where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = materialised(word_counts(docs, text).where("n > 1"), "word-counts")
+    least, kept = 2, 0
+    for row in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        kept += row["count"]
+        if kept > words:
+            least = row["n"] + 1
+            break
+    frequent = [r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()]
     merge = Merger(ranks)
     pairs = [(w.encode(), list(merge(w))) for w in frequent]
     root, _, name = new_folder(spark, "lexicon").rpartition("/")
