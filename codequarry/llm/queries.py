@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import docpairs, packing, spans, splitting, tokens, truncation
+from codequarry.llm import docpairs, handwritten, packing, spans, splitting, tokens, truncation
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, folder, "files"), table(spark, folder, "sources"))
+
+
+def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.scored(table(spark, folder, "files"), table(spark, folder, "sources"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_pairs(table(spark, folder, "chunks"))
 
@@ -64,6 +72,8 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_scores": p4_scores,
     "p6_found": p6_found,
     "p6_shares": p6_shares,
     "p7_found": p7_found,
