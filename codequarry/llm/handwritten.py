@@ -29,7 +29,7 @@ from codequarry.plans.workspace import materialised
 
 #: Most labelled rows of each class that the forest is fitted on.
 SAMPLE = 6000
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 #: Shorter blocks are too common to tell where a file comes from.
 BLOCK_CHARS = 80
 #: Of a literal table, letters outside literals are at most this share of all characters.
@@ -38,10 +38,14 @@ LITERAL_REST = 0.08
 # Conventional notices of generated code, of third-party code and of a project's own terms.
 _GENERATED = re.compile(
     r"@generated\b|\bcode generated by\b|\b(?:automatically|auto)[ -]?generated\b(?! (?:method|function|constructor|stub))"
-    r"|\bgenerated (?:automatically )?(?:by|from|with|using) \S|\bdo not (?:edit|modify)\b|\bmachine[ -]generated\b|<auto-generated",
+    r"|\bgenerated (?:automatically )?(?:by|from|with|using) \S|\bdo not (?:edit|modify)\b|\bmachine[ -]generated\b|<auto-generated"
+    r"|\bproduced by (?:the )?\S+ (?:compiler|generator|tool)\b|\boutput of \S+, run\b|\bedit the \S+ instead\b"
+    r"|\b(?:changes|edits?) (?:will be|is|are|get) (?:lost|overwritten|discarded)\b"
+    r"|\berzeugt von\b|\bnicht (?:von Hand )?(?:bearbeiten|ändern)\b|\bgénéré\w* (?:par|automatiquement)\b|\bne pas modifier\b"
+    r"|\bgenerad[oa] (?:por|automáticamente)\b|\bno (?:editar|modificar)\b",
     re.I,
 )
-_THIRD_PARTY = re.compile(r"\bv?\d+\.\d+(?:\.\d+)?\b[^\n]*\b(?:terms|licen[cs]ed?|copyright|authors)\b|^\s*/\*!|@license\b|@preserve\b|\bcopyright (?:\(c\)|©|\d{4})", re.I | re.M)
+_THIRD_PARTY = re.compile(r"\b(?:copied|imported|vendored|taken) from upstream\b|\bv?\d+\.\d+(?:\.\d+)?\b[^\n]*\b(?:terms|licen[cs]ed?|copyright|authors)\b|^\s*/\*!|@license\b|@preserve\b|\bcopyright (?:\(c\)|©|\d{4})", re.I | re.M)
 _OWN_TERMS = re.compile(r"\bpart of the (?P<name>[\w.-]+) project\b|\bterms: see NOTICE\b", re.I)
 #: File names and folders reserved for generated code by convention.
 GENERATED_PATH = r"(?i)(\.(generated|gen|g|pb|pb\.gw|designer)\.\w+$|_pb2(_grpc)?\.pyi?$|(^|[./_-])min(\.[0-9a-f]{4,})?\.(js|css)$|\.bundle\.js$|(^|/)(generated|gen|__generated__)/)"
@@ -67,7 +71,7 @@ def header_of(text: str) -> str:
 def notice_of(header: str) -> tuple[str | None, str | None]:
     """(kind of notice, name of the project whose own terms it states; '' if it names none)."""
     own = _OWN_TERMS.search(header)
-    kind = "generated" if _GENERATED.search(header) else "third-party" if _THIRD_PARTY.search(header) else None
+    kind = "third-party" if _THIRD_PARTY.search(header) else "generated" if _GENERATED.search(header) else None
     return kind, (own["name"] or "") if own else None
 
 
