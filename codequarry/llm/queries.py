@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import docpairs, handwritten, packing, spans, splitting, tokens, truncation
+from codequarry.llm import docpairs, handwritten, packing, spans, splitting, syntax, tokens, truncation
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
     return handwritten.scored(table(spark, folder, "files"), table(spark, folder, "sources"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.broken(table(spark, folder, "files"), table(spark, folder, "sources")).select("file_id")
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.broken_rates(table(spark, folder, "files"), table(spark, folder, "sources"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_pairs(table(spark, folder, "chunks"))
 
@@ -74,6 +82,8 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_shares": p6_shares,
     "p7_found": p7_found,
