@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.plans import general
+from codequarry.plans import general, reference
 
-QUERIES = {**general.QUERIES}
-ORACLE = {**general.ORACLE}
+QUERIES = {**general.QUERIES, **reference.QUERIES}
+ORACLE = {**general.ORACLE, **reference.ORACLE}
