@@ -12,7 +12,6 @@ from codequarry.functions import columns as C
 # Fixed values of the cost model.
 CALL_TOKENS = 30
 SEARCH_TOKENS = 200
-PRICE_TOKEN, PRICE_OVERHEAD = 3, 15
 
 _SUMS = ["output_tokens", "alternative_tokens", "files_touched", "engine_input_tokens", "alt_input_tokens", "engine_calls", "alt_calls"]
 
@@ -22,15 +21,10 @@ def entry_total(inputs: Column, output: Column, calls: Column) -> Column:
 
 
 def with_totals(ledger: DataFrame) -> DataFrame:
-    """Rows with total_engine, total_alternative, saved and cost_saved (in millionths of a currency unit)."""
+    """Rows with total_engine, total_alternative and saved."""
     own = entry_total(F.col("engine_input_tokens"), F.col("output_tokens"), F.col("engine_calls"))
     other = entry_total(F.col("alt_input_tokens"), F.col("alternative_tokens"), F.col("alt_calls"))
-
-    def price(inputs: str, output: str, calls: str) -> Column:
-        return (F.col(inputs) + F.col(output)) * PRICE_TOKEN + F.col(calls) * CALL_TOKENS * PRICE_OVERHEAD
-
-    cost = price("alt_input_tokens", "alternative_tokens", "alt_calls") - price("engine_input_tokens", "output_tokens", "engine_calls")
-    return ledger.withColumns({"total_engine": own, "total_alternative": other, "saved": F.greatest(other - own, F.lit(0)), "cost_saved": cost})
+    return ledger.withColumns({"total_engine": own, "total_alternative": other, "saved": F.greatest(other - own, F.lit(0))})
 
 
 def since(ledger: DataFrame, start: str | None) -> DataFrame:

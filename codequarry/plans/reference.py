@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codequarry.functions import columns as C
 from codequarry.operators import content, graph, overview, quality, refresh, savings, search, symbols
 from codequarry.plans.workspace import materialised
+from codequarry.sources import parsers
+from codequarry.streaming import refresh as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -449,10 +451,9 @@ def savings_report(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT command, CAST(sum(engine_input_tokens + output_tokens + 30 * engine_calls) AS BIGINT) AS total_engine, CAST(sum(alt_input_tokens + alternative_tokens + 30 * alt_calls) AS BIGINT) AS total_alternative,
- CAST(sum(greatest(alt_input_tokens + alternative_tokens + 30 * alt_calls - engine_input_tokens - output_tokens - 30 * engine_calls, 0)) AS BIGINT) AS saved,
- CAST(sum(3 * (alt_input_tokens + alternative_tokens) + 450 * alt_calls - 3 * (engine_input_tokens + output_tokens) - 450 * engine_calls) AS BIGINT) AS cost_saved FROM {_LEDGER} GROUP BY command""")
+ CAST(sum(greatest(alt_input_tokens + alternative_tokens + 30 * alt_calls - engine_input_tokens - output_tokens - 30 * engine_calls, 0)) AS BIGINT) AS saved FROM {_LEDGER} GROUP BY command""")
 def savings_entry_cost(t: Tables) -> DataFrame:
-    return savings.with_totals(_ledger(t)).groupBy("command").agg(*[F.sum(c).alias(c) for c in ("total_engine", "total_alternative", "saved", "cost_saved")])
+    return savings.with_totals(_ledger(t)).groupBy("command").agg(*[F.sum(c).alias(c) for c in ("total_engine", "total_alternative", "saved")])
 
 
 @query("SELECT path, CAST(ceil(size_bytes / 4.0) AS BIGINT) + CAST(ceil(size_bytes / 4.0) AS BIGINT) // 10 AS tokens FROM files")
@@ -473,6 +474,35 @@ def token_estimate(t: Tables) -> DataFrame:
     return t.chunks.select("chunk_id", C.text_tokens(size).alias("text_tokens"), C.json_tokens(size).alias("json_tokens"))
 
 
+@query(f"""SELECT date_trunc('day', created_at) AS start, command, count(*) AS operations, CAST(sum(greatest(alternative_tokens - output_tokens, 0)) AS BIGINT) AS saved FROM {_LEDGER} GROUP BY ALL""")
+def savings_by_window(t: Tables) -> DataFrame:
+    return streaming.savings_by_window(_ledger(t), "1 day")
+
+
+# ---- parsers ----
+
+
+@query()
+def parse_sources(t: Tables) -> DataFrame:
+    """(lang, kind, chunks) of all sources parsed anew."""
+    rows = t.sources.join(t.files.select("file_id", "lang"), "file_id")
+    parsed = parsers.parse_sources(rows)
+    return parsed.join(t.files.select("file_id", "lang"), "file_id").select("lang", F.explode("chunks.kind").alias("kind")).groupBy("lang", "kind").agg(F.count("*").alias("chunks"))
+
+
+@query()
+def parse_references(t: Tables) -> DataFrame:
+    """(ref_kind, refs, targets) of all sources parsed anew."""
+    rows = t.sources.join(t.files.select("file_id", "lang"), "file_id")
+    refs = parsers.ref_rows(parsers.parse_sources(rows))
+    return refs.groupBy("ref_kind").agg(F.count("*").alias("refs"), F.countDistinct("target_ident").alias("targets"))
+
+
+@query()
+def supported_extensions(t: Tables) -> DataFrame:
+    return parsers.supported_extensions(t.spark)
+
+
 # ---- graph and tests ----
 
 _TESTFILE = """CASE lang WHEN 'rust' THEN starts_with(p, 'tests/') OR ends_with(p, '_tests.rs') OR ends_with(p, '_test.rs') WHEN 'java' THEN starts_with(p, 'src/test/') OR regexp_matches(n, '^.+Tests?\\.java$')

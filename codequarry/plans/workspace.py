@@ -39,7 +39,7 @@ def materialised(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     path = new_folder(spark, purpose)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class FileStore:
