@@ -167,6 +167,7 @@ def scored(files: DataFrame, sources: DataFrame, sample: int = SAMPLE) -> DataFr
         for part in parts:
             x = np.array(part["x"].tolist(), np.float64).reshape(len(part), len(FEATURES))
             score = forest.predict(x) if forest and len(part) else np.where(part["label"].fillna(0) == 1, 1.0, 0.0)
+            score = np.where(x[:, FEATURES.index("size")] == 0, 0.0, score)  # there is nothing to judge in an empty file
             yield part[["file_id", "path", "decisive"]].assign(score=score)
 
     out = table.mapInPandas(predict, "file_id long, path string, decisive boolean, score double")
