@@ -92,7 +92,7 @@ def text_features(body: str) -> list[float]:
     return [
         len(zlib.compress(body.encode("utf-8", "replace"), 1)) / size, entropy, sum(len(t) * n for t, n in names) / uses, len(names) / uses,
         sum(n for t, n in names if len(t) < 3) / uses, len(_COMMENT.findall(body)) / count, len(body) / count, math.log1p(max(map(len, lines), default=0)),
-        digits / size, 1 - (sum(len(t) * n for t, n in names) + digits + blanks) / size, blanks / size, math.log1p(size), rest / size, len(set(lines)) / count,
+        digits / size, 1 - (sum(len(t) * n for t, n in names) + digits + blanks) / size, blanks / size, math.log1p(len(body)), rest / size, len(set(lines)) / count,
     ]
 
 
