@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codequarry.functions import columns as C
 from codequarry.operators import content, graph, overview, quality, refresh, savings, search, symbols
-from codequarry.plans.workspace import materialised
+from codequarry.plans.workspace import materialised, spread
 from codequarry.sources import parsers
 from codequarry.streaming import refresh as streaming
 
@@ -485,7 +485,7 @@ def savings_by_window(t: Tables) -> DataFrame:
 @query()
 def parse_sources(t: Tables) -> DataFrame:
     """(lang, kind, chunks) of all sources parsed anew."""
-    rows = t.sources.join(t.files.select("file_id", "lang"), "file_id")
+    rows = spread(t.sources, "file_id").join(spread(t.files.select("file_id", "lang"), "file_id"), "file_id")
     parsed = parsers.parse_sources(rows)
     return parsed.join(t.files.select("file_id", "lang"), "file_id").select("lang", F.explode("chunks.kind").alias("kind")).groupBy("lang", "kind").agg(F.count("*").alias("chunks"))
 
@@ -493,7 +493,7 @@ def parse_sources(t: Tables) -> DataFrame:
 @query()
 def parse_references(t: Tables) -> DataFrame:
     """(ref_kind, refs, targets) of all sources parsed anew."""
-    rows = t.sources.join(t.files.select("file_id", "lang"), "file_id")
+    rows = spread(t.sources, "file_id").join(spread(t.files.select("file_id", "lang"), "file_id"), "file_id")
     refs = parsers.ref_rows(parsers.parse_sources(rows))
     return refs.groupBy("ref_kind").agg(F.count("*").alias("refs"), F.countDistinct("target_ident").alias("targets"))
 

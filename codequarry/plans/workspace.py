@@ -42,6 +42,16 @@ def materialised(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed by ``keys`` into at least one partition per core.
+
+    For work in Python that costs more than its input's size says: adaptive execution would coalesce a small shuffle into a few
+    tasks, but leaves a number that was asked for.  A join on the same keys reuses the partitioning.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 class FileStore:
     """Small control files beside the tables, with an atomic replace (Hadoop rename with overwrite)."""
 

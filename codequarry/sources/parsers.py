@@ -110,12 +110,20 @@ def blanked(text: str, strings: str, comments: str) -> str:
     return re.sub(f"(?:{strings})|{comments}" if r"\1" in strings else f"{comments}|{strings}", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 
+_MARKS = re.compile(r"[(){}\[\];\n]")
+_GOES_ON = re.compile(r"\s*(?:\{|where\b|throws\b|[:.,=|&+)]|extends\b|implements\b)")
+_COMPLETE = re.compile(r"[\w)>\]}\"'`][ \t\r]*$")
+
+
 def _body_end(blank: str, at: int) -> tuple[int, bool]:
     """End of the declaration whose head ends at ``at``: after its block or semicolon; whether its block is closed."""
     depth = rounds = 0
-    for k in range(at, len(blank)):
-        c = blank[k]
-        if c in "([":
+    for mark in _MARKS.finditer(blank, at):
+        c, k = mark[0], mark.start()
+        if c == "\n":
+            if depth == 0 and rounds <= 0 and not _GOES_ON.match(blank, k) and _COMPLETE.search(blank, max(at, blank.rfind("\n", at, k) + 1), k):
+                return k, True
+        elif c in "([":
             rounds += 1
         elif c in ")]":
             rounds -= 1
@@ -125,21 +133,20 @@ def _body_end(blank: str, at: int) -> tuple[int, bool]:
             depth -= 1
             if depth <= 0:
                 return k + (depth == 0), depth == 0
-        elif c == ";" and depth == 0 and rounds <= 0:
+        elif depth == 0 and rounds <= 0:
             return k + 1, True
-        elif c == "\n" and depth == 0 and rounds <= 0 and not re.match(r"\s*(?:\{|where\b|throws\b|[:.,=|&+)]|extends\b|implements\b)", blank[k:]) and re.search(r"[\w)>\]}\"'`]\s*$", blank[at:k]):
-            return k, True
     return len(blank), False
 
 
 def _sidecar(text: str, start: int, lang: str) -> tuple[str | None, str | None]:
     """(doc comment, attributes) on the lines right above a declaration."""
-    lines = text[: text.rfind("\n", 0, start) + 1].split("\n")[:-1]
+    below = text.rfind("\n", 0, start) + 1
     docs: list[str] = []
     marks: list[str] = []
     block = False
-    while lines:
-        line = lines.pop().strip()
+    while below > 0:
+        above = text.rfind("\n", 0, below - 1) + 1
+        line, below = text[above : below - 1].strip(), above
         if block:
             docs.append(line)
             block = not line.startswith("/*")
@@ -208,13 +215,18 @@ def parse_braces(text: str, lang: str) -> Parsed:
             else:
                 name = re.sub(r"^(?:pub\S*\s+)?(?:use|import|using)\s+(?:static\s+)?|;$", "", m[0]).strip()
                 out.refs.append((name, "import", m.start()))
-    spans = [(m.start(), m.end()) for m in imports]
+    starts, ends = [m.start() for m in imports], [m.end() for m in imports]
+
+    def imported(at: int) -> bool:
+        k = bisect_right(starts, at) - 1
+        return k >= 0 and at < ends[k]
+
     heads_at = {c.start + (c.signature or "").find(c.ident) for c in out.chunks}
     for m in re.finditer(r"([A-Za-z_$][\w$]*)!?\s*(?:::<[^<>()]*>)?\(", blank):
-        if m[1] not in _NOT_CALLED and m.start() not in heads_at and not any(a <= m.start() < b for a, b in spans) and not re.search(r"\b(?:fn|func|function)\s+(?:\([^)]*\)\s*)?$", blank[max(0, m.start() - 80) : m.start()]):
+        if m[1] not in _NOT_CALLED and m.start() not in heads_at and not imported(m.start()) and not re.search(r"\b(?:fn|func|function)\s+(?:\([^)]*\)\s*)?$", blank[max(0, m.start() - 80) : m.start()]):
             out.refs.append((m[1], "call", m.start()))
     for m in re.finditer(rules.types, blank):
-        if not any(a <= m.start() < b for a, b in spans) and not re.match(r"\s*\(", blank[m.end() : m.end() + 2]):
+        if not imported(m.start()) and not re.match(r"\s*\(", blank[m.end() : m.end() + 2]):
             out.refs.append((m[0], "type_use", m.start()))
     if opened or sum(blank.count(c) for c in "([{") != sum(blank.count(c) for c in ")]}"):
         out.quality = "partial"
@@ -470,11 +482,13 @@ def rows_of(text: str, lang: str) -> tuple[list[dict], list[dict], str]:
         row |= {"start_byte": offset(start), "end_byte": offset(end), "start_line": bisect_right(breaks, start - 1) + 1, "end_line": bisect_right(breaks, max(start, end - 1) - 1) + 1}
         chunks.append(row)
     refs = []
+    inner: dict[int, tuple | None] = {}
     for target, kind, at in parsed.refs:
         line = bisect_right(breaks, at - 1) + 1
-        inner = [(c["start_line"], k) for k, c in enumerate(chunks) if c["start_line"] <= line <= c["end_line"]]
-        if inner:
-            refs.append({"target_ident": target, "ref_kind": kind, "line": line, "col": at - (breaks[line - 2] + 1 if line > 1 else 0) + 1, "chunk": max(inner)[1]})
+        if line not in inner:
+            inner[line] = max(((c["start_line"], k) for k, c in enumerate(chunks) if c["start_line"] <= line <= c["end_line"]), default=None)
+        if inner[line]:
+            refs.append({"target_ident": target, "ref_kind": kind, "line": line, "col": at - (breaks[line - 2] + 1 if line > 1 else 0) + 1, "chunk": inner[line][1]})
     return chunks, refs, parsed.quality
 
 
