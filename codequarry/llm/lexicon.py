@@ -99,9 +99,9 @@ class Lexicon:
         rank, out = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
         width = min(int(lengths.max()), 64)
         active = np.flatnonzero((lengths > 0) & (lengths <= width))
-        table = np.zeros((len(words), width), np.uint8)
-        for i in active:
-            table[i, : lengths[i]] = np.frombuffer(words[i], np.uint8)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        places = (np.cumsum(lengths) - lengths)[:, None] + np.arange(width)
+        table = flat[np.minimum(places, max(len(flat) - 1, 0))] if len(flat) else np.zeros((len(words), width), np.uint8)
         state = np.full(len(words), self.root, np.int64)
         for step in range(width):
             wanted = state[active] * 256 + table[active, step]
