@@ -10,8 +10,8 @@ lies in the span, in both records.  If not, they lie within one long line in bot
 again the same in both.
 
 The exact check extends every match of two units to both sides over the ``SPAN - UNIT`` characters around it.  Groups of up to
-``SMALL_GROUP`` units are compared pairwise; in larger ones every place of a span around the unit is tried by the hash of the
-whole span, so that only records that really share a span ever meet.
+``SMALL_GROUP`` units are compared pairwise; in larger ones the window around the unit grows in three steps to a whole span, each step splitting the
+group by the hash of the longer window, so that many records that share a short piece (a licence, say) never meet in pairs.
 """
 
 from __future__ import annotations
@@ -154,17 +154,58 @@ def _small_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int32()) for k, c in enumerate(columns)], ["a", "b", "a_start", "a_end", "b_start", "b_end"])
 
 
-def _whole_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and text of every span of SPAN characters around the units of large groups."""
-    for batch in batches:
-        out: list[tuple] = []
-        for name, at, before, piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            points = code_points(piece)
-            starts = np.arange(max(0, len(points) - SPAN + 1))
-            for start, digest in zip(starts.tolist(), Hashes(points).of(starts, SPAN).view(np.int64).tolist(), strict=True):
-                out.append((digest, name, at - before + start, piece[start : start + SPAN]))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], ["span", "class", "at", "text"])
+#: How windows grow around a unit of a large group: from, to, step.  A span that holds a window of the first length holds one of
+#: the second that starts a whole number of steps, at most (SPAN - from) / step, before it; the last windows are whole spans.
+_GROWTH = ((UNIT, 250, 50), (250, 290, 10), (290, SPAN, 1))
+
+
+def _grown(length: int, to: int, step: int):
+    """(key, class, at, before, slice, window) of every longer window around the window of each row; windows are places in the slice."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+        for batch in batches:
+            out: list[tuple] = []
+            for name, at, before, piece, window in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                points = code_points(piece)
+                starts = np.array([w for j in range((SPAN - length) // step + 1) if (w := window - j * step) >= 0 and w + to <= len(points)], np.int64)
+                for start, key in zip(starts.tolist(), Hashes(points).of(starts, to).view(np.int64).tolist(), strict=True):
+                    out.append((key, name, at, before, piece, start))
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "class", "at", "before", "slice", "window"])
+
+    return run
+
+
+def _pairwise(rows: DataFrame, key: str) -> DataFrame:
+    groups = rows.groupBy(key).agg(F.collect_list(F.struct("class", "at", "before", "slice")).alias("members"))
+    return groups.select("members").mapInArrow(_small_groups, _MATCH)
+
+
+def _large_groups(rows: DataFrame) -> DataFrame:
+    """Matches of units whose groups are too large for pairs: windows grow until groups are small or windows are whole spans."""
+    rows = rows.select("class", "at", "before", "slice", F.col("before").alias("window"))
+    parts = []
+    for length, to, step in _GROWTH:
+        schema = "key long, class string, at int, before int, slice string, window int"
+        grown = materialised(rows.mapInArrow(_grown(length, to, step), schema), "windows")
+        if to == SPAN:
+            span = F.substring("slice", F.col("window") + 1, F.lit(SPAN))
+            whole = grown.groupBy("key", "class", span.alias("text")).agg(F.min(F.col("at") - F.col("before") + F.col("window")).alias("at"))
+            left, right = (whole.select("key", "text", F.col("class").alias(c), F.col("at").alias(f"{c}_start")) for c in ("a", "b"))
+            met = left.join(right, ["key", "text"]).where("a < b")
+            parts.append(met.selectExpr("a", "b", "a_start", f"a_start + {SPAN} AS a_end", "b_start", f"b_start + {SPAN} AS b_end"))
+            break
+        sizes = grown.groupBy("key").agg(F.count("*").alias("m"), (F.min("class") != F.max("class")).alias("mixed")).where("mixed")
+        grown = materialised(grown.join(sizes.select("key", "m"), "key"), "sized-windows")
+        parts.append(_pairwise(grown.where(F.col("m") <= SMALL_GROUP), "key"))
+        rows = grown.where(F.col("m") > SMALL_GROUP).select("class", "at", "before", "slice", "window")
+        if rows.isEmpty():
+            break
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _classes(chunks: DataFrame) -> DataFrame:
@@ -190,13 +231,9 @@ def matches(rows: DataFrame) -> DataFrame:
     before = F.least(F.col("u.at"), F.lit(AROUND))
     sliced = cut.select(F.col("u.digest").alias("digest"), F.col("u.n").alias("n"), "class", F.col("u.at").alias("at"), before.alias("before"), F.substring("content", F.col("u.at") - before + 1, before + F.lit(SPAN)).alias("slice"))
     sliced = materialised(sliced, "slices")
-    small = sliced.where(F.col("n") <= SMALL_GROUP).groupBy("digest").agg(F.collect_list(F.struct("class", "at", "before", "slice")).alias("members")).select("members")
-    found = small.mapInArrow(_small_groups, _MATCH)
-    large = sliced.where(F.col("n") > SMALL_GROUP).select("class", "at", "before", "slice").mapInArrow(_whole_spans, "span long, class string, at int, text string")
-    large = large.groupBy("span", "class", "text").agg(F.min("at").alias("at"))
-    left, right = (large.select("span", "text", F.col("class").alias(c), F.col("at").alias(f"{c}_start")) for c in ("a", "b"))
-    met = left.join(right, ["span", "text"]).where("a < b").selectExpr("a", "b", "a_start", f"a_start + {SPAN} AS a_end", "b_start", f"b_start + {SPAN} AS b_end")
-    return found.unionByName(met)
+    found = _pairwise(sliced.where(F.col("n") <= SMALL_GROUP), "digest")
+    large = sliced.where(F.col("n") > SMALL_GROUP)
+    return found if large.isEmpty() else found.unionByName(_large_groups(large))
 
 
 def shared_pairs(chunks: DataFrame) -> DataFrame:

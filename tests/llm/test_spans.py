@@ -48,6 +48,20 @@ def test_like_brute_force(spark, seed, lines, monkeypatch):
     assert {tuple(r) for r in spans.shared_pairs(df).collect()} == brute(rows)
 
 
+def test_a_piece_that_many_share(spark, monkeypatch):
+    """A header of 200 characters in every record makes no pairs; spans that hold it do."""
+    monkeypatch.setattr(spans, "SMALL_GROUP", 3)
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("qwertyuiop\n ") for _ in range(n))
+    header = own(100) + "\n" + own(99)
+    rows = [(i, i, own(50) + header + own(200), "z") for i in range(40)]
+    tail, head = own(110), own(60)
+    rows += [(100 + i, 100 + i, own(20) + head + header + tail[: 39 + i] + own(90), "z") for i in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {tuple(r) for r in spans.shared_pairs(df).collect()}
+    assert got == brute(rows) and len(got) >= 10
+
+
 def test_cases(spark):
     same = "x = 1\n" * 60
     rule = "=" * 400
