@@ -30,6 +30,20 @@ def postings(chunks: DataFrame, key: str = "chunk_id", columns: list[str] = COLU
     return each.select(key, F.col("f.field").alias("field"), F.posexplode("f.words").alias("pos", "term"))
 
 
+#: Folders of a written postings table; a query for whole words reads those of its words only.
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
+    """The postings of all chunks, laid out by a hash of the term and sorted by term within each file."""
+    rows = postings(chunks, key).withColumn("bucket", bucket(F.col("term")))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def lengths(chunks: DataFrame, key: str = "chunk_id", columns: list[str] = COLUMNS) -> DataFrame:
     """(key, n): words of a chunk over all columns."""
     return chunks.select(F.col(key), reduce(Column.__add__, [F.size(words(F.col(c))) for c in columns]).alias("n"))
@@ -42,6 +56,8 @@ def _hits(index: DataFrame, units: list[Unit], key: str) -> DataFrame:
         last = len(unit.words) - 1
         conditions = [F.col("term").startswith(w) if unit.prefix and i == last else F.col("term") == w for i, w in enumerate(unit.words)]
         rows = index.where(reduce(Column.__or__, conditions))
+        if "bucket" in index.columns and not unit.prefix:  # constants after folding, so folders are pruned
+            rows = rows.where(reduce(Column.__or__, [F.col("bucket") == bucket(F.lit(w)) for w in unit.words]))
         if last == 0:
             parts.append(rows.groupBy(key).agg(F.count("*").alias("tf")).select(F.lit(number).alias("unit"), key, "tf"))
             continue

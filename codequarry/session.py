@@ -16,6 +16,8 @@ from codequarry.operators import content, graph, overview, quality, refresh, sav
 from codequarry.plans.workspace import FileStore
 from codequarry.sources import parsers, scan
 
+#: Raised when a parser changes what it yields: every file is then parsed anew.
+PARSER_VERSION = 1
 _TABLES = {"files": schema.FILES, "chunks": schema.CHUNKS, "refs": schema.REFS}
 
 
@@ -29,7 +31,7 @@ class Index:
 
     def pointer(self) -> dict:
         text = self._store.read_text("CURRENT")
-        return json.loads(text) if text else {"version": 0, "schema": schema.SCHEMA_VERSION, "parser": 1}
+        return json.loads(text) if text else {"version": 0, "schema": schema.SCHEMA_VERSION, "parser": PARSER_VERSION}
 
     def _table(self, name: str) -> DataFrame:
         version = self.pointer()["version"]
@@ -48,7 +50,7 @@ class Index:
         for name, df in (("files", files), ("chunks", chunks), ("refs", refs)):
             names = [part.split()[0] for part in _TABLES[name].split(", ")]
             df.select(*names).write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-        self._store.replace_text("CURRENT", json.dumps(at | {"version": version}))
+        self._store.replace_text("CURRENT", json.dumps(at | {"version": version, "parser": PARSER_VERSION}))
         return version
 
     # ---- writing ----
@@ -58,7 +60,10 @@ class Index:
         if refresh.skipped():
             return self.spark.createDataFrame([], "state string, files long")
         disk = scan.contents(self.spark, source)
-        states = refresh.classify(disk, self.files, walk_had_errors)
+        known = self.files
+        if self.pointer()["parser"] != PARSER_VERSION:
+            known = known.withColumns({"hash": F.lit(""), "mtime_nanos": F.lit(0).cast("long")})
+        states = refresh.classify(disk, known, walk_had_errors)
         work = disk.join(states.where("state IN ('added', 'modified')"), "path", "left_semi")
         gone = states.where("state = 'deleted'").select("path")
         touched = disk.join(states.where("state = 'touched'"), "path", "left_semi")
@@ -86,10 +91,18 @@ class Index:
             self.commit(*quality.repaired(self.files, self.chunks, self.refs, on_disk))
         return found
 
+    def build_postings(self) -> None:
+        """Write the postings of the valid version; searches read them from then on."""
+        search.write_postings(self.chunks, f"{self.root}/v{self.pointer()['version']}/postings")
+        at = self.pointer()
+        self._store.replace_text("CURRENT", json.dumps(at | {"postings": at["version"]}))
+
     # ---- reading ----
 
     def search(self, query: str, limit: int = 20, fields: str = "full") -> DataFrame:
-        return search.search(self.chunks, query, limit, fields)
+        at = self.pointer()
+        index = self.spark.read.parquet(f"{self.root}/v{at['version']}/postings") if at.get("postings") == at["version"] else None
+        return search.search(self.chunks, query, limit, fields, index)
 
     def overview(self, detail: str = "standard", path: str | None = None) -> DataFrame:
         if detail == "minimal":

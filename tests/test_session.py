@@ -47,7 +47,10 @@ def test_index_and_refresh(spark, project, tmp_path):
     assert index.read("readme.md", section="Part").count() == 1
     with pytest.raises(LookupError, match="Title"):
         index.read("readme.md", section="None")
-    assert index.search("helper").count() >= 1
+    plain = [tuple(r) for r in index.search("helper").collect()]
+    index.build_postings()
+    assert plain and plain == [tuple(r) for r in index.search("helper").collect()]
+    assert index.search("help*").count() >= 1 and index.search('"helper a"').count() >= 1
     assert index.deps("src/lib.rs").first()["imports"] == ["std::fmt"]
     assert index.overview("tree").count() >= 3 and index.overview("minimal").count() == index.overview().count()
     assert {r["changed"] for r in index.diff(project).collect()} == {False}
@@ -62,6 +65,26 @@ def test_index_and_refresh(spark, project, tmp_path):
     assert index.files.where("path = 'src/lib.rs'").count() == 0
 
 
+def test_command_line(spark, project, tmp_path, capsys):
+    from codequarry.__main__ import main
+
+    def run(*words):
+        assert main(["--index", f"file://{tmp_path}/cli", "--source", project, *words], spark) == 0
+        return capsys.readouterr().out
+
+    assert "added" in run("index")
+    assert "helper" in run("search", "helper") and "content" not in run("search", "helper", "--fields", "minimal")
+    assert '"in_symbol":"add"' in run("refs", "helper")
+    assert "readme.md" in run("overview") and "src/" in run("overview", "--detail", "tree")
+    assert run("--format", "table", "supported").startswith("results[")
+    assert "a + 2" in run("replace", "src/lib.rs", "helper", "fn helper(a: u32) -> u32 { a + 2 }", "--preview")
+    run("replace", "src/lib.rs", "helper", "fn helper(a: u32) -> u32 { a + 2 }")
+    assert "a + 2" in open(os.path.join(project, "src/lib.rs")).read() and "a + 2" in run("read", "src/lib.rs", "--symbol", "helper")
+    assert "orphan_chunks" in run("verify") and "files" in run("stats") and "std::fmt" in run("deps", "src/lib.rs")
+    assert "containing" in run("scope", "src/lib.rs", "5") and "tokens" in run("partition", "src/lib.rs", "uniform:3")
+    assert main(["--index", f"file://{tmp_path}/cli", "--source", project, "read", "src/lib.rs", "--symbol", "nothing"], spark) == 1
+
+
 def test_edits(spark, project, tmp_path):
     index = Index(spark, f"file://{tmp_path}/index")
     index.index(project)
