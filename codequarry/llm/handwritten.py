@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codequarry.llm.batches import slices
 from codequarry.llm.forest import Forest
 from codequarry.plans.workspace import materialised
 
@@ -108,20 +109,18 @@ def block_hashes(body: str) -> list[tuple[int, int]]:
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int32())])), pa.list_(pa.float64())]
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            out: list[list] = [[] for _ in kinds]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                header = header_of(text)
-                body = text[len(header) :]
-                features = text_features(body)
-                literal = len(body) > 400 and features[12] <= LITERAL_REST
-                blocks = [{"hash": h, "size": n} for h, n in block_hashes(body)]
-                for column, value in zip(out, (key, *notice_of(header), literal, blocks, features), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["file_id", "notice", "own", "literal", "blocks", "f"])
+    for batch in slices(batches, 1):
+        out: list[list] = [[] for _ in kinds]
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            text = text or ""
+            header = header_of(text)
+            body = text[len(header) :]
+            features = text_features(body)
+            literal = len(body) > 400 and features[12] <= LITERAL_REST
+            blocks = [{"hash": h, "size": n} for h, n in block_hashes(body)]
+            for column, value in zip(out, (key, *notice_of(header), literal, blocks, features), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["file_id", "notice", "own", "literal", "blocks", "f"])
 
 
 def described(files: DataFrame, sources: DataFrame) -> DataFrame:

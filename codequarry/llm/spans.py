@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codequarry.llm.batches import slices
 from codequarry.plans.workspace import materialised
 
 SPAN = 300
@@ -96,17 +97,15 @@ def anchors(points: np.ndarray, hashes: Hashes, bounds: np.ndarray) -> tuple[np.
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            parts = [code_points(t) for t in batch.column(2).to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-            points = np.concatenate(parts)
-            places, digests = anchors(points, Hashes(points), bounds)
-            text = np.searchsorted(bounds, places, "right") - 1
-            take = pa.array(text)
-            offsets = pa.array((places - bounds[text]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), offsets], ["digest", "class", "file_id", "at"])
+    for batch in slices(batches, 2):
+        parts = [code_points(t) for t in batch.column(2).to_pylist()]
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        points = np.concatenate(parts)
+        places, digests = anchors(points, Hashes(points), bounds)
+        text = np.searchsorted(bounds, places, "right") - 1
+        take = pa.array(text)
+        offsets = pa.array((places - bounds[text]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), offsets], ["digest", "class", "file_id", "at"])
 
 
 def _extent(a: str, i: int, b: str, j: int) -> tuple[int, int]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from codequarry.llm.batches import slices
 from codequarry.llm.lexicon import Lexicon, compile_words, to_bytes
 from codequarry.plans.workspace import FileStore, materialised, new_folder
 
@@ -82,7 +83,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return batch
 
-    for batch in batches:
+    for batch in slices(batches, 0):
         for text in batch.column(0).to_pylist():
             counts.update(split(text))
         if len(counts) > _MEMO_WORDS:
@@ -122,12 +123,16 @@ class Encoder:
         self._split, self._merge, self._ranks, self._memo = Splitter(), None, ranks, {}
 
     def _learn(self, words: list[str]) -> None:
+        memo, ids = self._memo, self._lexicon.ids
+        unseen = []
         for word, rank in zip(words, self._lexicon.ranks([w.encode() for w in words]).tolist(), strict=True):
             if rank < 0:
-                self._merge = self._merge or Merger(self._ranks)
-                self._memo[word] = self._merge(word)
+                unseen.append(word)
             else:
-                self._memo[word] = self._lexicon.ids(rank)
+                memo[word] = ids(rank)
+        if unseen:
+            self._merge = self._merge or Merger(self._ranks)
+            memo.update(zip(unseen, map(self._merge, unseen), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
         """Per text the ids of each of its words."""
@@ -147,19 +152,13 @@ def _id_list(encoded: list[list[tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), np.fromiter(flat(flat(encoded)), np.int32, sum(lengths))
 
 
-def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS_FILE, words: int = LEXICON_WORDS) -> DataFrame:
     """(key, ids): the token ids of every row's text."""
     name = build_lexicon(docs, text, ranks, words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in _slices(batches):
+        for batch in slices(batches, 1):
             encoder = encoder or Encoder(name, ranks)
             offsets, ids = _id_list(encoder(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [key, "ids"])
@@ -174,7 +173,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in _slices(batches):
+        for batch in slices(batches, 1):
             encoder = encoder or Encoder(name, ranks)
             sizes = [sum(map(len, words)) for words in encoder(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], [key, "tokens"])
