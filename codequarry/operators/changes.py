@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 from codequarry.plans.workspace import FileStore, materialised, new_folder
 
+#: So many tokens of past runs are remembered; an older run is not repeated by anybody.
+TOKENS = 1000
 _STATE = "scope string, key string, hash string, alive boolean, changed boolean, tag long"
 
 
@@ -68,7 +70,7 @@ class ChangeTracker:
             return at["version"] - (len(at["tokens"]) - 1 - at["tokens"].index(token))
         number = at["version"] + 1
         compared(self.state(), readings, scopes).write.mode("overwrite").parquet(f"{self.root}/v{number:06d}")
-        self._files.replace_text(self.POINTER, json.dumps({"version": number, "tokens": [*at["tokens"], token]}))
+        self._files.replace_text(self.POINTER, json.dumps({"version": number, "tokens": [*at["tokens"], token][-TOKENS:]}))
         return number
 
     def forget_before(self, version: int) -> None:
