@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from codequarry import output
-from codequarry.operators import edit, overview, quality
+from codequarry.operators import edit, graph, overview, quality
 from codequarry.session import Index
 from codequarry.sources import parsers, scan
 
@@ -31,10 +31,10 @@ def _parser() -> argparse.ArgumentParser:
     text, number = {"default": None}, {"type": int, "default": 20}
     add("index")
     add("search", "query", limit=number, fields={"default": "full"})
-    add("read", "path", symbol=text, parent=text, section=text)
+    add("read", "path", symbol=text, parent=text, section=text, metadata=bool)
     add("overview", detail={"default": "standard"}, path=text)
     add("refs", "symbol")
-    add("context", "symbol")
+    add("context", "symbol", graph=bool)
     add("deps", "path")
     add("scope", "path", "line")
     add("summarize", "path")
@@ -42,7 +42,7 @@ def _parser() -> argparse.ArgumentParser:
     add("diff")
     add("files", path=text, skipped_only=bool, indexed_only=bool)
     add("stats", savings=bool, since=text)
-    add("quality", "log", unknown_only=bool, all=bool, summary=bool)
+    add("quality", "log", unknown_only=bool, all=bool, summary=bool, clear=bool)
     add("verify", fix=bool)
     add("supported")
     add("tests", "symbol", "path")
@@ -68,6 +68,10 @@ def _edit(index: Index, a: argparse.Namespace) -> dict:
     else:
         report |= edit.extract(a.source, a.path, [find(s) for s in a.symbols.split(",")], a.to)
     index.index(a.source)
+    if a.command == "replace":
+        report["run_tests"] = [r.asDict() for r in index.test_impact(a.symbol, a.path).collect()]
+        if not report["run_tests"]:
+            report["no_tests_warning"] = graph.warning(0, 0)
     return report
 
 
@@ -77,13 +81,15 @@ def _query(index: Index, a: argparse.Namespace) -> DataFrame:
     if a.command == "search":
         return index.search(a.query, a.limit, a.fields)
     if a.command == "read":
+        if a.metadata and a.symbol:
+            return index.metadata(a.symbol)
         return index.read(a.path, a.symbol, a.parent, a.section)
     if a.command == "overview":
         return index.overview(a.detail, a.path)
     if a.command == "refs":
         return index.refs_to(a.symbol)
     if a.command == "context":
-        return index.context(a.symbol)
+        return index.context(a.symbol, a.graph)
     if a.command in ("deps", "summarize"):
         return getattr(index, a.command)(a.path)
     if a.command == "scope":
@@ -98,6 +104,8 @@ def _query(index: Index, a: argparse.Namespace) -> DataFrame:
     if a.command == "stats":
         return index.savings(a.since) if a.savings else index.stats()
     if a.command == "quality":
+        if a.clear:
+            return index.spark.createDataFrame([(quality.clear_log(index.spark, a.log),)], "cleared boolean")
         log = quality.read_log(index.spark, a.log)
         return quality.summary(log) if a.summary else log if a.all and not a.unknown_only else quality.unknown(log)
     if a.command == "verify":

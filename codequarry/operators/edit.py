@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import os
 import tempfile
 from collections.abc import Callable
@@ -11,6 +10,9 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, Row, functions as F
 
+from codequarry import schema
+from codequarry.sources import parsers
+
 
 class EditError(Exception):
     """An edit that was refused; ``kind`` is one of the engine's error kinds."""
@@ -61,17 +63,11 @@ def find_symbol(files: DataFrame, chunks: DataFrame, path: str, symbol: str, par
     return rows[0]
 
 
-def python_valid(text: str) -> bool:
-    try:
-        ast.parse(text)
-    except (SyntaxError, ValueError):
-        return False
-    return True
-
-
 def guarded(path: str, data: bytes, validate: Callable[[str], bool] | None) -> None:
-    check = validate or (python_valid if path.endswith((".py", ".pyi")) else None)
-    if check is not None and not check(data.decode("utf-8", "replace")):
+    """Refuse an edit after which the file's text would not parse, by ``validate`` or the parser of its language."""
+    text = data.decode("utf-8", "replace")
+    lang = schema.EXTENSIONS.get(path.rpartition(".")[2].lower(), "unknown")
+    if not (validate(text) if validate else parsers.valid(text, lang)):
         raise EditError("syntax_guard", f"the edit would break the syntax of {path}")
 
 

@@ -17,6 +17,18 @@ def read_log(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], schema.ISSUES)
 
 
+def clear_log(spark, path: str) -> bool:
+    """Delete the log; whether there was one."""
+    from codequarry.plans.workspace import FileStore
+
+    folder, _, name = path.rpartition("/")
+    store = FileStore(spark, folder)
+    existed = store.read_text(name) is not None
+    if existed:
+        store.remove(name)
+    return existed
+
+
 def annotate(issues: DataFrame, patterns: DataFrame) -> DataFrame:
     """Issues with ``known`` and ``test`` set by the first pattern (position, lang, needle, test) of their language in their context.
 

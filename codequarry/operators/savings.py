@@ -74,6 +74,21 @@ def symbol_cost(sizes: DataFrame) -> DataFrame:
     return sizes.select((C.read_cost(F.col("total_bytes")) + SEARCH_TOKENS).alias("tokens"), (F.lit(1) + F.col("files")).alias("calls"))
 
 
+def scoped_cost(sizes: DataFrame) -> DataFrame:
+    """(tokens, calls) of an operation on all files below a path, from their (files, total_bytes)."""
+    return symbol_cost(sizes)
+
+
+def at_least(base: Column, own: Column) -> Column:
+    """The alternative's cost where it cannot be less than the answer itself, as for searches."""
+    return F.greatest(base, own)
+
+
+def file_or_own(cost: Column, own: Column) -> Column:
+    """The cost of reading a file, or the answer's own size for a file the index does not know."""
+    return F.when(F.coalesce(cost, F.lit(0)) == 0, own).otherwise(cost)
+
+
 def write_cost(kind: str, size: Column, old: Column, new: Column) -> tuple[Column, Column, Column]:
     """(input tokens, output tokens, calls) of replacing, deleting, inserting or extracting by plain reads and writes.
 

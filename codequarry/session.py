@@ -129,8 +129,18 @@ class Index:
     def refs_to(self, symbol: str) -> DataFrame:
         return symbols.impact(self.files, self.chunks, self.refs, symbol)
 
-    def context(self, symbol: str) -> DataFrame:
-        return symbols.context(self.chunks, self.refs, symbol)
+    def context(self, symbol: str, graph: bool = False) -> DataFrame:
+        found = symbols.context(self.chunks, self.refs, symbol)
+        if not graph:
+            return found
+        callers = symbols.callers(self.files, self.chunks, self.refs, symbol)
+        return found.join(callers.agg(F.sort_array(F.collect_list("caller")).alias("callers")))
+
+    def metadata(self, symbol: str) -> DataFrame:
+        """(ident, path, kind, signature, content, ref_count) of the definition to show."""
+        best = symbols.definitions(self.files, self.chunks.where(F.col("ident") == symbol)).select("chunk_id")
+        count = self.refs.where(F.col("target_ident") == symbol).agg(F.count("*").alias("ref_count"))
+        return self.chunks.join(best, "chunk_id", "left_semi").join(self.files.select("file_id", "path"), "file_id").join(count).select("ident", "path", "kind", "signature", "content", "ref_count")
 
     def deps(self, path: str) -> DataFrame:
         return symbols.dependencies(self.files.where(F.col("path") == path), self.chunks, self.refs)

@@ -465,6 +465,11 @@ def parse(text: str, lang: str) -> Parsed:
     return parse_plain(text)
 
 
+def valid(text: str, lang: str) -> bool:
+    """Whether a text has no syntax error that its parser can see; languages that are no code are always valid."""
+    return lang not in schema.CODE_LANGUAGES or parse(text, lang).quality == "complete"
+
+
 def rows_of(text: str, lang: str) -> tuple[list[dict], list[dict], str]:
     """(chunk rows, reference rows, quality) with byte offsets, lines and, for references, the position of their innermost chunk."""
     parsed = parse(text, lang)

@@ -81,6 +81,9 @@ def test_command_line(spark, project, tmp_path, capsys):
     run("replace", "src/lib.rs", "helper", "fn helper(a: u32) -> u32 { a + 2 }")
     assert "a + 2" in open(os.path.join(project, "src/lib.rs")).read() and "a + 2" in run("read", "src/lib.rs", "--symbol", "helper")
     assert "orphan_chunks" in run("verify") and "files" in run("stats") and "std::fmt" in run("deps", "src/lib.rs")
+    assert '"callers":["add"]' in run("context", "helper", "--graph") and '"ref_count":1' in run("read", "src/lib.rs", "--symbol", "helper", "--metadata")
+    (tmp_path / "log").write_text('{"ts":"1","file":"a","lang":"x","issue":"i"}\n')
+    assert '"issue":"i"' in run("quality", f"file://{tmp_path}/log") and "true" in run("quality", f"file://{tmp_path}/log", "--clear")
     assert "containing" in run("scope", "src/lib.rs", "5") and "tokens" in run("partition", "src/lib.rs", "uniform:3")
     assert main(["--index", f"file://{tmp_path}/cli", "--source", project, "read", "src/lib.rs", "--symbol", "nothing"], spark) == 1
 
