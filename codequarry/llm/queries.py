@@ -32,7 +32,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return syntax.broken_rates(table(spark, folder, "files"), table(spark, folder, "sources"))
+    return syntax.broken_rates(*(table(spark, folder, t) for t in ("files", "sources", "issues")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
