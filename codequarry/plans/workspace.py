@@ -7,8 +7,11 @@ machine) a temporary folder is made and registered as the checkpoint folder.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +55,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, wherever the driver has it from; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_codequarry_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    image = io.BytesIO()
+    with zipfile.ZipFile(image, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    root, _, name = new_folder(spark, "package").rpartition("/")
+    context.addPyFile(FileStore(spark, root).write_bytes(f"{name}.zip", image.getvalue()))
+    context._codequarry_shipped = True
+
+
 class FileStore:
     """Small control files beside the tables, with an atomic replace (Hadoop rename with overwrite)."""
 

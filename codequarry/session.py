@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codequarry import schema
 from codequarry.functions import columns as C
 from codequarry.operators import content, graph, overview, quality, refresh, savings, search, symbols
-from codequarry.plans.workspace import FileStore
+from codequarry.plans.workspace import FileStore, ship
 from codequarry.sources import parsers, scan
 
 #: Raised when a parser changes what it yields: every file is then parsed anew.
@@ -26,6 +26,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self._store = spark, root.rstrip("/"), FileStore(spark, root)
+        ship(spark)
 
     # ---- storage ----
 
