@@ -7,6 +7,7 @@ not depend on the query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,11 +24,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", columns: list[str] = COLUMNS) -> DataFrame:
-    """(term, key, field, pos): every word with the column it stands in and its place there."""
-    fields = F.array(*[F.struct(F.lit(i).alias("field"), words(F.col(c)).alias("words")) for i, c in enumerate(columns)])
-    each = chunks.select(F.col(key), F.explode(fields).alias("f"))
-    return each.select(key, F.col("f.field").alias("field"), F.posexplode("f.words").alias("pos", "term"))
+def postings(chunks: DataFrame, key: str = "chunk_id", columns: list[str] = COLUMNS, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(term, key, field, pos): every word with the column it stands in and its place there.
+
+    ``keep`` picks words within the row, before anything is exploded: a query without written postings makes rows of its own
+    words only.
+    """
+
+    def placed(number: int, column: str) -> Column:
+        all_ = F.transform(words(F.col(column)), lambda w, k: F.struct(F.lit(number).alias("field"), k.alias("pos"), w.alias("term")))
+        return F.filter(all_, lambda s: keep(s["term"])) if keep else all_
+
+    fields = [placed(i, c) for i, c in enumerate(columns)]
+    each = chunks.select(F.col(key), F.explode(F.concat(*fields)).alias("p"))
+    return each.select(key, "p.field", "p.pos", "p.term")
+
+
+def _wanted(units: list[Unit]) -> Callable[[Column], Column]:
+    """Whether a word is part of some unit."""
+    whole = {w for u in units for w in (u.words[:-1] if u.prefix else u.words)}
+    starts = {u.words[-1] for u in units if u.prefix}
+    return lambda term: reduce(Column.__or__, [term.isin(sorted(whole)), *[term.startswith(p) for p in sorted(starts)]])
 
 
 #: Folders of a written postings table; a query for whole words reads those of its words only.
@@ -95,7 +112,9 @@ def search(chunks: DataFrame, query: str, limit: int = 20, fields: str = "full",
     if fields not in ("full", "minimal"):
         raise ValueError(f"unknown fields mode: {fields}")
     shown = ["chunk_id", "file_id", "kind", "ident", "start_line", "end_line"] + ["content"] * (fields == "full")
-    best = ranked(index if index is not None else postings(chunks), lengths(chunks), query)
+    if index is None:
+        index = postings(chunks, keep=_wanted([u for g in textquery.parse(query) for u in g]))
+    best = ranked(index, lengths(chunks), query)
     if best is None:
         return chunks.select(*shown).withColumn("score", F.lit(0.0)).limit(0)
     score = F.round("score", 9)
