@@ -28,7 +28,7 @@ LIMIT_SHARE, LIMIT_ROWS = 0.01, 3
 #: A source's claimed length may follow any rule that at least this share of its texts obeys.
 CLAIM_SHARE = 0.05
 #: A word seen this often is known; known words end lines in at least FINAL_SHARE of their uses if a line may end with them.
-#: A word of COMMON_WORD uses that never ended a line may not end one.
+#: A word of COMMON_WORD uses that ends lines in less than FINAL_SHARE of them may not end one; cut texts make up some of these ends.
 KNOWN_WORD, FINAL_SHARE, COMMON_WORD = 5, 0.004, 50
 #: The word after a given one ends the line in at least this share of cases if the line may end there.
 FOLLOW_SHARE = 0.03
@@ -304,7 +304,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     # the text at hand is one of the counted uses, and no witness for itself
     may_follow = F.when(F.col("before").isin(".", "^"), False).when(followed < KNOWN_WORD, True).otherwise((follow_final > 1) & (follow_final - 1 >= FOLLOW_SHARE * followed))
     ends_lines = (n >= KNOWN_WORD) & (final > 1) & (final - 1 >= FINAL_SHARE * n)
-    never_ends = (n >= COMMON_WORD) & (final <= 1)
+    never_ends = (n >= COMMON_WORD) & (final - 1 < FINAL_SHARE * n)
     may_end = F.when(number, may_follow).when(ends_lines, True).when(never_ends, False).otherwise(may_follow)
     stops = F.when(state == "word", ~may_end).when(state == "line", ~((final > 0) & (final >= FINAL_SHARE * n)))
     reason = (

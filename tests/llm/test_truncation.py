@@ -42,3 +42,11 @@ def test_corpus(spark):
     assert rates["bytes"] == (60, 0) and rates["wide"] == (122, 2)
     assert t.truncated(df.limit(0)).count() == 0
     assert t.truncated(df.drop("kind").where("doc_id < 3")).count() == 0
+
+
+def test_cut_texts_do_not_witness_for_common_words(spark):
+    """Cut texts that end in a common word raise its count of line ends; the rule holds by share, at every size."""
+    rows = [(i, f"- drop support for part{i} of it\n" * (20 + i) + "- faster reads", "wide", None, "changelog", "z") for i in range(60)]
+    cut = [(1000 + i, f"- drop support\n- rename piece{i} of", "wide", None, "changelog", "z") for i in range(4)]
+    got = {r["doc_id"]: r["reason"] for r in t.truncated(spark.createDataFrame(rows + cut, DOCS)).collect()}
+    assert got == dict.fromkeys((r[0] for r in cut), "phrase")
