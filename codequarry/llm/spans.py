@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry.llm.batches import slices
 from codequarry.plans.workspace import materialised
@@ -181,8 +181,11 @@ def _pairwise(rows: DataFrame, key: str) -> DataFrame:
     return groups.select("members").mapInArrow(_small_groups, _MATCH)
 
 
-def _large_groups(rows: DataFrame) -> DataFrame:
-    """Matches of units whose groups are too large for pairs: windows grow until groups are small or windows are whole spans."""
+def _large_groups(rows: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """(matches, whole spans) of units whose groups are too large for pairs: windows grow until groups are small or windows are whole spans.
+
+    Whole spans are (key, text, class, at), every place of each; classes that hold the same text meet by it, not in pairs.
+    """
     rows = rows.select("class", "at", "before", "slice", F.col("before").alias("window"))
     parts = []
     for length, to, step in _GROWTH:
@@ -190,21 +193,14 @@ def _large_groups(rows: DataFrame) -> DataFrame:
         grown = materialised(rows.mapInArrow(_grown(length, to, step), schema), "windows")
         if to == SPAN:
             span = F.substring("slice", F.col("window") + 1, F.lit(SPAN))
-            whole = grown.groupBy("key", "class", span.alias("text")).agg(F.min(F.col("at") - F.col("before") + F.col("window")).alias("at"))
-            left, right = (whole.select("key", "text", F.col("class").alias(c), F.col("at").alias(f"{c}_start")) for c in ("a", "b"))
-            met = left.join(right, ["key", "text"]).where("a < b")
-            parts.append(met.selectExpr("a", "b", "a_start", f"a_start + {SPAN} AS a_end", "b_start", f"b_start + {SPAN} AS b_end"))
-            break
+            return parts, grown.select("key", span.alias("text"), "class", (F.col("at") - F.col("before") + F.col("window")).alias("at")).distinct()
         sizes = grown.groupBy("key").agg(F.count("*").alias("m"), (F.min("class") != F.max("class")).alias("mixed")).where("mixed")
         grown = materialised(grown.join(sizes.select("key", "m"), "key"), "sized-windows")
         parts.append(_pairwise(grown.where(F.col("m") <= SMALL_GROUP), "key"))
         rows = grown.where(F.col("m") > SMALL_GROUP).select("class", "at", "before", "slice", "window")
         if rows.isEmpty():
             break
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return parts, None
 
 
 def _classes(chunks: DataFrame) -> DataFrame:
@@ -213,10 +209,11 @@ def _classes(chunks: DataFrame) -> DataFrame:
     return rows.select(F.md5("content").alias("class"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id"), "content")
 
 
-def matches(rows: DataFrame) -> DataFrame:
-    """(a, b, a_start, a_end, b_start, b_end): spans of at least SPAN characters common to two classes, a < b; offsets in characters.
+def matches(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((a, b, a_start, a_end, b_start, b_end), (key, text, class, at)): spans of at least SPAN characters common to two classes.
 
-    The spans of one pair may overlap; together they cover every shared span whole.
+    The first are spans of pairs, a < b, the second whole spans of large groups, null where there are none; offsets in characters.
+    Spans may overlap; together with ``runs`` they cover every shared span whole, at every place.
     """
     units = rows.select("class", "file_id", "content").mapInArrow(_anchor_rows, "digest long, class string, file_id long, at int")
     units = materialised(units, "units")
@@ -232,7 +229,71 @@ def matches(rows: DataFrame) -> DataFrame:
     sliced = materialised(sliced, "slices")
     found = _pairwise(sliced.where(F.col("n") <= SMALL_GROUP), "digest")
     large = sliced.where(F.col("n") > SMALL_GROUP)
-    return found if large.isEmpty() else found.unionByName(_large_groups(large))
+    if large.isEmpty():
+        return found, None
+    parts, whole = _large_groups(large)
+    for part in parts:
+        found = found.unionByName(part)
+    return found, whole
+
+
+def _run_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            points = code_points(text)
+            bounds = np.concatenate([[0], np.flatnonzero(points[1:] != points[:-1]) + 1, [len(points)]])
+            for k in np.flatnonzero(np.diff(bounds) >= SPAN).tolist():
+                out.append((text[bounds[k]], name, bounds[k], bounds[k + 1]))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int32()) for k, c in enumerate(columns)], ["text", "class", "start", "stop"])
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """(text, class, start, stop): runs of one character of at least SPAN; any two runs of it share every span of the shorter.
+
+    Of such a run only the ends are units, so what lies further inside than AROUND is covered by these alone.
+    """
+    return rows.select("class", "content").dropDuplicates(["class"]).mapInArrow(_run_rows, "text string, class string, start int, stop int")
+
+
+def _earliest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, first, second) over rows with ``first`` and ``second`` (chunk_id, file_id): the least, and the least of another file."""
+    first = rows.groupBy(*by).agg(F.min("first").alias("_first"))
+    elsewhere = F.when(F.col("first.file_id") != F.col("_first.file_id"), F.col("first")).otherwise(F.col("second"))
+    return rows.join(first, by).groupBy(*by).agg(F.min("_first").alias("first"), F.min(elsewhere).alias("second"))
+
+
+def _held_spans(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, file_id, class, start, stop, origin): every span of a chunk that another file holds, once for each group of holders.
+
+    ``origin`` is the holders' least chunk_id in another file; null if that file has the same chunk_id only.  Spans may overlap.
+    """
+    rows = _classes(chunks)
+    members = rows.select("class", "chunk_id", "file_id").distinct()
+    place = F.struct("chunk_id", "file_id")
+    holders = materialised(_earliest(members.select("class", place.alias("first"), F.lit(None).cast("struct<chunk_id:bigint,file_id:bigint>").alias("second")), ["class"]), "holders")
+    found, whole = matches(rows)
+    found = materialised(found, "spans")
+    both = found.selectExpr("a AS class", "b AS other", "a_start AS start", "a_end AS stop").unionByName(found.selectExpr("b AS class", "a AS other", "b_start AS start", "b_end AS stop"))
+    copies = rows.select("class", F.length("content").alias("stop")).distinct().join(holders.where("second IS NOT NULL").select("class"), "class", "left_semi").selectExpr("class", "class AS other", "0 AS start", "stop")
+    both = both.unionByName(copies).distinct().join(holders.withColumnRenamed("class", "other"), "other").select("class", "start", "stop", "first", "second")
+    many = runs(rows).select(F.lit(0).cast("long").alias("key"), "text", "class", "start", "stop")
+    if whole is not None:
+        many = many.unionByName(whole.select("key", "text", "class", F.col("at").alias("start"), (F.col("at") + SPAN).alias("stop")))
+    many = materialised(many, "whole-spans")
+    held = _earliest(many.select("key", "text", "class").distinct().join(holders, "class"), ["key", "text"]).where("second IS NOT NULL")
+    both = both.unionByName(many.join(held, ["key", "text"]).select("class", "start", "stop", "first", "second"))
+    by = Window.partitionBy("class", "first", "second").orderBy("start", "stop")
+    # spans of the same holders that touch are one
+    opens = F.coalesce(F.col("start") > F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    numbered = both.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy("class", "first", "second", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    placed = members.join(joined, "class")
+    away = [F.col(f"{c}.file_id") != F.col("file_id") for c in ("first", "second")]
+    other = [F.when(away[k] & (F.col(f"{c}.chunk_id") != F.col("chunk_id")), F.col(f"{c}.chunk_id")) for k, c in enumerate(("first", "second"))]
+    placed = placed.where(away[0] | away[1])
+    return placed.select("chunk_id", "file_id", "class", "start", "stop", F.coalesce(*other).alias("origin"))
 
 
 def shared_pairs(chunks: DataFrame) -> DataFrame:
@@ -242,7 +303,12 @@ def shared_pairs(chunks: DataFrame) -> DataFrame:
     """
     rows = _classes(chunks)
     members = rows.select("class", "chunk_id", "file_id").distinct()
-    pairs = matches(rows).select("a", "b").distinct()
+    found, whole = matches(rows)
+    pairs = found.select("a", "b")
+    if whole is not None:
+        left, right = (whole.select("key", "text", F.col("class").alias(c)).distinct() for c in ("a", "b"))
+        pairs = pairs.unionByName(left.join(right, ["key", "text"]).where("a < b").select("a", "b"))
+    pairs = pairs.distinct()
     copies = members.groupBy("class").agg(F.count("*").alias("n"), F.min("file_id").alias("low"), F.max("file_id").alias("high")).where("n > 1 AND low <> high").select(F.col("class").alias("a"), F.col("class").alias("b"))
     pairs = pairs.unionByName(copies)
     left, right = (members.select(F.col("class").alias(c), F.col("chunk_id").alias(f"chunk_{c}"), F.col("file_id").alias(f"file_{c}")) for c in ("a", "b"))
@@ -256,17 +322,7 @@ def shared_shares(chunks: DataFrame) -> DataFrame:
     ``origin`` is the least chunk_id that holds some of it in another file, the occurrence to keep when the rest is removed; null
     where nothing is shared.  Every chunk comes out once; a null or empty content has share 0.
     """
-    rows = _classes(chunks)
-    members = rows.select("class", "chunk_id", "file_id").distinct()
-    holders = members.groupBy("class").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"), F.min(F.struct("chunk_id", "file_id")).alias("least"))
-    spans = materialised(matches(rows), "spans")
-    both = spans.selectExpr("a AS class", "b AS other", "a_start AS start", "a_end AS stop").unionByName(spans.selectExpr("b AS class", "a AS other", "b_start AS start", "b_end AS stop"))
-    copies = rows.select("class", F.length("content").alias("stop")).distinct().join(holders.where("low <> high").select("class"), "class", "left_semi").selectExpr("class", "class AS other", "0 AS start", "stop")
-    both = both.unionByName(copies).distinct()
-    where = holders.select(F.col("class").alias("other"), "low", "high", "least")
-    placed = members.join(both, "class").join(where, "other").where("low <> file_id OR high <> file_id")
-    origin = F.min(F.when((F.col("least.file_id") != F.col("file_id")) & (F.col("least.chunk_id") != F.col("chunk_id")), F.col("least.chunk_id")))
-    spans_of = placed.groupBy("chunk_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), origin.alias("origin"))
+    spans_of = _held_spans(chunks).groupBy("chunk_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.min("origin").alias("origin"))
     step = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),

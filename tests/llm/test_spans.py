@@ -80,3 +80,16 @@ def test_share_is_exact(spark):
     common = own(900)
     df = spark.createDataFrame([(1, 1, own(500) + "A" + common + "B" + own(77), "z"), (2, 2, "C" + common + "D" + own(300), "z")], SCHEMA)
     assert {r["chunk_id"]: r["shared_chars"] for r in spans.shared_shares(df).collect()} == {1: 900, 2: 900}
+
+
+def test_share_of_repeated_spans(spark, monkeypatch):
+    """Every copy of a block that many chunks hold counts, and the whole of a long run of one character."""
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choice("qwertyuiop\n ") for _ in range(n))
+    block = own(420)
+    rows = [(i, i, own(40) + chr(65 + i) + block + chr(75 + i) + own(40), "z") for i in range(8)] + [(50, 50, "W" + block + "X" + own(90) + "Y" + block + "Z", "z")]
+    rows += [(60, 60, "=" * 1500, "z"), (61, 61, "y" + "=" * 1100 + "y", "z")]
+    for small in (48, 3):
+        monkeypatch.setattr(spans, "SMALL_GROUP", small)
+        shares = {r["chunk_id"]: r["shared_chars"] for r in spans.shared_shares(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert shares == dict.fromkeys(range(8), 420) | {50: 840, 60: 1500, 61: 1100}
