@@ -43,6 +43,10 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_shares(table(spark, folder, "chunks"))
 
 
+def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.without_shared(table(spark, folder, "chunks"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return docpairs.documented_functions(table(spark, folder, "chunks"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_shares": p6_shares,
+    "p6_kept": p6_kept,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
     "p8_ids": p8_ids,

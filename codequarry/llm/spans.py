@@ -333,3 +333,25 @@ def shared_shares(chunks: DataFrame) -> DataFrame:
     out = every.join(spans_of.select("chunk_id", step.alias("shared"), "origin"), "chunk_id", "left")
     n = F.coalesce("shared", F.lit(0))
     return out.select("chunk_id", "chars", n.alias("shared_chars"), F.round(F.when(F.col("chars") > 0, n / F.col("chars")).otherwise(0.0), 6).alias("share"), "origin")
+
+
+def without_shared(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, file_id, removed, kept): each chunk's text without the spans that an earlier chunk of another file holds.
+
+    ``removed`` are the spans (start, stop, origin) in offsets of the whole content, origin being the chunk_id of the earliest
+    holder; they may overlap.  The earliest occurrence of a span stays, ranked by chunk_id.  A null content is kept null.
+    """
+    later = _held_spans(chunks).where("origin < chunk_id").groupBy("chunk_id", "file_id", "class").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "origin"))).alias("removed"))
+    every = chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id"), "content", F.md5("content").alias("class")).dropDuplicates(["chunk_id", "file_id", "class"])
+    joined = every.join(later, ["chunk_id", "file_id", "class"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,stop:int,origin:bigint>>")))
+
+    def part(end, start):
+        return F.substring("content", end + 1, F.greatest(start - end, F.lit(0)))
+
+    kept = F.aggregate(
+        "removed",
+        F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end")),
+        lambda acc, s: F.struct(F.concat(acc["parts"], F.array(part(acc["end"], s["start"]))).alias("parts"), F.greatest(acc["end"], s["stop"]).alias("end")),
+        lambda acc: F.concat(F.array_join(acc["parts"], ""), part(acc["end"], F.length("content"))),
+    )
+    return joined.select("chunk_id", "file_id", "removed", kept.alias("kept"))

@@ -93,3 +93,15 @@ def test_share_of_repeated_spans(spark, monkeypatch):
         monkeypatch.setattr(spans, "SMALL_GROUP", small)
         shares = {r["chunk_id"]: r["shared_chars"] for r in spans.shared_shares(spark.createDataFrame(rows, SCHEMA)).collect()}
         assert shares == dict.fromkeys(range(8), 420) | {50: 840, 60: 1500, 61: 1100}
+
+
+def test_later_occurrences_are_removed(spark):
+    """The least holder of another file stays, though the least of all lies in the same file."""
+    rng = random.Random(4)
+    block = "".join(rng.choice("qwertyuiop\n ") for _ in range(400))
+    rows = [(3, 1, block, "z"), (7, 1, block, "z"), (8, 2, block, "z"), (9, 3, "<" + block + ">", "z"), (10, 4, None, "z")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["chunk_id"]: (r["kept"], [tuple(s) for s in r["removed"]]) for r in spans.without_shared(df).collect()}
+    assert got[3] == got[7] == (block, []) and got[10] == (None, [])
+    assert got[8] == ("", [(0, 400, 3)]) and got[9] == ("<>", [(1, 401, 3)])
+    assert {r["chunk_id"]: r["origin"] for r in spans.shared_shares(df).collect()} == {3: 8, 7: 8, 8: 3, 9: 3, 10: None}
