@@ -1,14 +1,18 @@
 """Functions paired with their documentation.
 
-Every function chunk is parsed to a function node: Python by its abstract syntax tree, the other languages by a header and
-body parser over tokens.  The node gives the name, the exact source ranges of signature and body, and where Python keeps the
-documentation.  A description counts if, beyond marks and empty tags, anything is left that is no placeholder, no
-commented-out code and not just the words of the function's own name.
+Every function chunk is parsed, in the language of its file, to function nodes: Python by its abstract syntax tree, the other languages
+by a header and body parser over tokens that knows annotations, receivers, type parameters, results and arrows.  All nodes of a chunk
+are visited; the one that bears the chunk's name is its function.  The node gives the exact source ranges of signature and body, and where
+Python keeps the documentation.  A description counts if it has at least ``LEAST_LETTERS`` letters and, beyond marks and empty tags,
+anything is left that is no placeholder, no commented-out code and not just the words of the function's own name.
+
+A chunk whose file is not known is Python if it starts like a Python function.
 """
 
 from __future__ import annotations
 
 import ast
+import itertools
 import re
 import textwrap
 import warnings
@@ -18,6 +22,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codequarry.llm.batches import slices
+
+#: Descriptions with fewer letters are too short to say anything.
+LEAST_LETTERS = 3
+
 # Phrases that stand where documentation should be.
 PLACEHOLDERS = frozenset(
     [
@@ -100,146 +109,307 @@ def _says(line: str, own: set[str]) -> bool:
     return bool((words & spread or spread) - own - _EMPTY_WORDS)
 
 
-def says_something(doc: str | None, name: str | None) -> bool:
-    """Whether a documentation text describes the function ``name`` at all; null and blank say nothing."""
+def says_something(doc: str | None, name: str | None, least_letters: int = LEAST_LETTERS) -> bool:
+    """Whether a documentation text describes the function ``name`` at all; null, blank and too short ones say nothing."""
     own = name_words(name)
+    if sum(map(str.isalpha, description(doc))) < least_letters:
+        return False
     return any(_says(line, own) for line in description(doc).split("\n") if line)
 
 
 @dataclass
 class FunctionNode:
-    """Offsets are characters of the parsed text."""
+    """Offsets are characters of the parsed text; ``start`` is behind annotations of a brace language."""
 
     name: str | None
+    start: int
     signature_end: int
     body_start: int
     body_end: int
     doc: str | None = None
 
 
-_PYTHON = re.compile(r"[ \t]*(?:@|(?:async[ \t]+)?def[ \t])")
-_LITERAL = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|'(?:[^'\\\n]|\\.)'|[(){}\[\];]|=>|\n", re.S)
-_NAME = re.compile(r"(?:\b(?:fn|func|function\*?|def)\s+(?:\([^)]*\)\s*)?|\b(?:const|let|var)\s+)?([A-Za-z_$][\w$]*)\s*(?:<[^>()]*>)?\s*(?=\(|=)")
+_PYTHON = re.compile(r"\s*(?:@[^\n]*\n\s*)*(?:async[ \t]+)?def[ \t]")
+
 
+#: The end of a header: its colon and the comments behind it.
+_COLON = re.compile(r":[^\S\n]*(?:#[^\n]*)?(?:\n\s*(?:#[^\n]*)?)*\Z")
 
-def _python_node(text: str) -> FunctionNode | None:
-    shifted = textwrap.dedent(text) if text[:1] in " \t" else text
+
+def _python_nodes(text: str) -> list[FunctionNode]:
+    """All function nodes of a text that parses, outer ones first."""
+    margin = len(text) - len(text.lstrip(" \t"))
+    shifted = textwrap.dedent(text) if margin else text
     lines = shifted.split("\n")
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(shifted)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-    node = next((n for n in tree.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)), None)
-    if node is None:
-        return None
+        return []
+    own = text.split("\n")
+    cuts = [len(a) - len(b) for a, b in zip(own, lines, strict=False)]
+    starts = list(itertools.accumulate((len(x) + 1 for x in own), initial=0))
 
     def offset(line: int, column: int) -> int:
-        return sum(len(x) + 1 for x in lines[: line - 1]) + len(lines[line - 1].encode()[:column].decode(errors="ignore"))
-
-    first, last = node.body[0], node.body[-1]
-    start = offset(first.lineno, first.col_offset)
-    return FunctionNode(node.name, start, start, offset(last.end_lineno, last.end_col_offset), ast.get_docstring(node, clean=False))
-
-
-def _head_docstring(text: str) -> str | None:
-    """The docstring at the head of a Python function that does not parse as a whole."""
-    head = re.match(r"(?:\s*@[^\n]*\n)*\s*(?:async\s+)?def\s+\w+\s*\((?:[^()]|\([^()]*\))*\)[^:\n]*:[^\n]*\n?\s*[rRuU]?(\"\"\"|'''|\"|')(.*?)\1", text, re.S)
-    return head[2] if head else None
-
-
-def _brace_node(text: str) -> FunctionNode:
-    name = _NAME.search(text)
-    depth = rounds = 0
-    start = None
-    for token in _LITERAL.finditer(text, name.end() if name else 0):
-        mark = token[0]
-        if mark in "([":
-            rounds += 1
-        elif mark in ")]":
-            rounds -= 1
-        elif mark == "{" and rounds <= 0:
-            start = token.start() if depth == 0 and start is None else start
-            depth += 1
-        elif mark == "}" and rounds <= 0 and start is not None:
-            depth -= 1
-            if depth == 0:
-                return FunctionNode(name[1] if name else None, start, start, token.end())
-    end = len(text) if start is None else start
-    return FunctionNode(name[1] if name else None, end, end, len(text))
-
-
-def parse_function(text: str) -> FunctionNode:
-    """The function node of a chunk's text; a text that does not parse has an open end and its doc is sought at the head."""
-    if _PYTHON.match(text):
-        node = _python_node(text)
-        if node:
-            return node
-        colon = text.find(":")
-        at = len(text) if colon < 0 else colon + 1
+        return starts[line - 1] + cuts[line - 1] + len(lines[line - 1].encode("utf-8", "surrogatepass")[:column].decode("utf-8", "ignore"))
+
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            first, last = node.body[0], node.body[-1]
+            start = offset(first.lineno, first.col_offset)
+            begin = offset(node.lineno, node.col_offset)
+            colon = _COLON.search(text, begin, start)
+            out.append(FunctionNode(node.name, begin, colon.start() + 1 if colon else start, start, offset(last.end_lineno, last.end_col_offset), ast.get_docstring(node, clean=False)))
+    return out
+
+
+_HEAD_DOC = re.compile(r"(?:\s*@[^\n]*\n)*\s*(?:async\s+)?def\s+(\w+)\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[^:\n]*:")
+_DOC = re.compile(r"[^\S\n]*(?:#[^\n]*)?\n?\s*[rRuU]?(\"\"\"|'''|\"|')(.*?)\1", re.S)
+
+
+def _broken_python(text: str) -> FunctionNode:
+    """A Python function that does not parse: its end is open, its docstring is sought at its head."""
+    head = _HEAD_DOC.match(text)
+    if not head:
         name = re.search(r"def\s+(\w+)", text)
-        return FunctionNode(name[1] if name else None, at, at, len(text), _head_docstring(text))
-    return _brace_node(text)
+        return FunctionNode(name[1] if name else None, 0, len(text), len(text), len(text))
+    doc = _DOC.match(text, head.end())
+    return FunctionNode(head[1], 0, head.end(), head.end(), len(text), doc[2] if doc else None)
+
+
+_TOKEN = re.compile(
+    r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|r(#+)\"[\s\S]*?\"\1|\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\]|\\[\s\S])*\"|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`(?:[^`\\]|\\[\s\S])*`|\{[^{}]*\})*\})*`"
+    r"|'(?:[^'\\\n]|\\[^\n])'|'[^\W\d]\w*(?!')|'(?:[^'\\\n]|\\.)*'|[^\W\d][\w$]*|\$[\w$]*|=>|->|::|\d[\w.]*|[^\s\w]"
+)
+_REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
+#: Words that are followed by brackets but name no function.
+_CONTROL = frozenset("if for while switch catch return throw new typeof in match loop else do await super this assert synchronized delete void with where impl async".split())
+
+
+def _tokens(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, text) of the tokens but comments."""
+    out: list[tuple[int, int, str]] = []
+    at = 0
+    while match := _TOKEN.search(text, at):
+        token = match[0]
+        if token == "/" and (not out or out[-1][2] in "(,=:[!&|?{};=>" or out[-1][2] in ("return", "=>", "case", "typeof")) and (regex := _REGEX.match(text, match.start())):
+            match, token = regex, regex[0]
+        at = match.end()
+        if not token.startswith(("//", "/*")):
+            out.append((match.start(), at, token))
+    return out
+
+
+class _Braces:
+    """Function nodes of one text of a brace language."""
+
+    def __init__(self, text: str):
+        self.text, self.tokens = text, _tokens(text)
+
+    def word(self, k: int) -> str:
+        return self.tokens[k][2] if 0 <= k < len(self.tokens) else ""
+
+    def behind(self, k: int) -> int:
+        """The place behind the group that opens at ``k``; the end of the text if it is not closed."""
+        opener, depth = self.word(k), 0
+        while k < len(self.tokens):
+            word = self.word(k)
+            if word == opener:
+                depth += 1
+            elif word == _CLOSE[opener]:
+                depth -= 1
+                if not depth:
+                    return k + 1
+            elif opener == "<" and word in ("(", "[", "{"):
+                k = self.behind(k)
+                continue
+            elif opener == "<" and word in (")", "]", "}", ";"):
+                return k
+            k += 1
+        return k
+
+    def annotations(self, k: int) -> int:
+        """The place behind annotations, decorators and attributes."""
+        while True:
+            word = self.word(k)
+            if word == "@" and self.word(k + 1) != "interface":
+                k += 2
+                while self.word(k) == ".":
+                    k += 2
+                k = self.behind(k) if self.word(k) == "(" else k
+            elif word == "#" and self.word(k + 1) in ("[", "!"):
+                k = self.behind(k + 1 + (self.word(k + 1) == "!"))
+            elif word == "[" and k == 0:
+                k = self.behind(k)
+            else:
+                return k
+
+    def nodes(self) -> list[FunctionNode]:
+        out, k = [], 0
+        while k < len(self.tokens):
+            start = self.annotations(k)
+            node, k = self.node(start)
+            if node:
+                out.append(node)
+        return out
+
+    def node(self, k: int) -> tuple[FunctionNode | None, int]:
+        """The next function at or behind ``k`` and the place behind it."""
+        first = k
+        bound: str | None = None  # the name a function value is bound to
+        while k < len(self.tokens):
+            word = self.word(k)
+            name, params = None, -1
+            if word in ("fn", "func", "function"):
+                after = k + 1
+                if word == "func" and self.word(after) == "(":
+                    after = self.behind(after)
+                after += self.word(after) == "*"
+                name = self.word(after) if re.match(r"[^\W\d]|\$", self.word(after)) else bound
+                after += name is not None and name == self.word(after)
+                after = self.behind(after) if self.word(after) in ("<", "[") else after
+                params = after if self.word(after) == "(" else -1
+            elif re.match(r"[^\W\d]|\$", word) and word not in _CONTROL:
+                after = k + 1
+                if self.word(after) == "<":
+                    after = self.behind(after)
+                if self.word(after) == "(" and self.word(k - 1) not in (".", "new", "@"):
+                    name, params = word, after
+                elif self.word(k + 1) in ("=", ":"):
+                    bound = word
+            elif word == "(" and bound is not None:
+                name, params = bound, k
+            elif word == "=>" and bound is not None and k:
+                return self.arrow(first, bound, k)
+            if params >= 0:
+                end = self.behind(params)
+                body = self.body(end)
+                if self.word(body) == "=>":
+                    return self.arrow(first, name, body)
+                if self.word(body) == "{" and (name is not bound or word in ("fn", "func", "function")):
+                    return self.closed(first, name, body)
+                if word in ("fn", "func", "function") or self.word(body) in (";", ""):
+                    at = self.tokens[body][0] if body < len(self.tokens) else len(self.text)
+                    return FunctionNode(name, self.tokens[first][0], at, at, at), body + 1
+                k = end
+                continue
+            if word in ("{", ";", "}"):
+                return None, k + 1
+            k += 1
+        return None, k
+
+    def closed(self, first: int, name: str | None, body: int) -> tuple[FunctionNode, int]:
+        behind = self.behind(body)
+        at = self.tokens[body][0]
+        return FunctionNode(name, self.tokens[first][0], at, at, self.tokens[behind - 1][1] if self.word(behind - 1) == "}" else len(self.text)), behind
+
+    def arrow(self, first: int, name: str | None, at: int) -> tuple[FunctionNode, int]:
+        """A function whose body follows an arrow: a block, or an expression up to a semicolon."""
+        if self.word(at + 1) == "{":
+            return self.closed(first, name, at + 1)
+        k = at + 1
+        while k < len(self.tokens) and self.word(k) != ";":
+            k = self.behind(k) if self.word(k) in ("(", "[", "{") else k + 1
+        begin = self.tokens[at + 1][0] if at + 1 < len(self.tokens) else len(self.text)
+        return FunctionNode(name, self.tokens[first][0], self.tokens[at][1], begin, self.tokens[k - 1][1]), k + 1
+
+    def body(self, k: int) -> int:
+        """Where the result type behind the parameters ends: at the body, an arrow, a semicolon or the end."""
+        while k < len(self.tokens):
+            word = self.word(k)
+            if word in (";", "=>"):
+                return k
+            if word == "{":
+                if self.word(k - 1) not in (":", "|", "&", ",", "struct", "interface", "->"):
+                    return k
+                k = self.behind(k)
+            elif word in ("(", "["):
+                k = self.behind(k)
+            elif word == "<":
+                k = self.behind(k)
+            elif word in (")", "]", "}", "=", ".") or word == "?":
+                return k if word != "." else self.body(k + 1)
+            else:
+                k += 1
+        return k
 
 
 def is_python(text: str | None) -> bool:
+    """Whether a text starts like a Python function; an annotation alone tells nothing."""
     return bool(text and _PYTHON.match(text))
 
 
-_NAMES = ["chunk_id", "name", "signature", "description", "doc_source", "body_start", "body_end", "content"]
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+def parse_functions(text: str, lang: str | None = None) -> list[FunctionNode]:
+    """All function nodes of a text in a language; an unknown one is told by the first line behind annotations."""
+    if lang == "python" or (lang is None and is_python(text)):
+        return _python_nodes(text) or [_broken_python(text)]
+    return _Braces(text).nodes() or [FunctionNode(None, 0, len(text), len(text), len(text))]
 
 
-def _documented(columns: list[list]) -> Iterator[tuple]:
-    """(key, ident, signature, doc, source, content, node) of the rows whose documentation says something."""
-    for key, ident, signature, doc, content in zip(*columns, strict=True):
-        node, source = None, "doc_comment"
-        if doc is None:
-            if not is_python(content):
-                continue
-            node, source = parse_function(content), "docstring"
-            doc = node.doc
-        if says_something(doc, ident):
-            yield key, ident, signature, doc, source, content or "", node
+def parse_function(text: str, lang: str | None = None, name: str | None = None) -> FunctionNode:
+    """The function node that bears ``name``, else the first one; a text that does not parse has an open end."""
+    nodes = parse_functions(text, lang)
+    return next((n for n in nodes if name is not None and n.name == name), nodes[0])
 
 
-def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for key, ident, signature, doc, source, content, node in _documented([c.to_pylist() for c in batch.columns]):
-            node = node or parse_function(content)
-            signature = signature or content[: node.signature_end].strip()
-            out.append((key, ident or node.name, signature, description(doc), source, node.body_start, node.body_end, content))
-        columns = list(zip(*out, strict=True)) or [[]] * len(_TYPES)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+_NAMES = ["chunk_id", "name", "signature", "description", "doc_source", "body_start", "body_end"]
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+_SCHEMA = "chunk_id long, name string, signature string, description string, doc_source string, body_start int, body_end int"
 
 
-def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [row[0] for row in _documented([c.to_pylist() for c in batch.columns])]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["chunk_id"])
+def _pairs(least_letters: int, with_content: bool):
+    """Parses every row (chunk_id, ident, signature, doc_comment, content, lang) and keeps those whose documentation says something."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4):
+            out: list[tuple] = []
+            kept: list[int] = []
+            columns = (batch.column(k).to_pylist() for k in range(6))
+            for row, (key, ident, signature, doc, content, lang) in enumerate(zip(*columns, strict=True)):
+                content = content or ""
+                node = parse_function(content, lang, ident)
+                source = "doc_comment" if doc is not None else "docstring"
+                doc = doc if doc is not None else node.doc
+                if says_something(doc, ident or node.name, least_letters):
+                    signature = signature or content[node.start : node.signature_end].strip()
+                    out.append((key, ident or node.name, signature, description(doc), source, node.body_start, node.body_end))
+                    kept.append(row)
+            columns_out = list(zip(*out, strict=True)) or [[]] * len(_TYPES)
+            arrays = [pa.array(c, t) for c, t in zip(columns_out, _TYPES, strict=True)]
+            content = [batch.column(4).take(pa.array(kept, pa.int64()))] if with_content else []
+            yield pa.RecordBatch.from_arrays(arrays + content, _NAMES + ["content"] * with_content)
 
-_PYTHON_HEAD = r"^[ \t]*(@|async[ \t]+def[ \t]|def[ \t])"
+    return run
 
 
-def _candidates(chunks: DataFrame, content) -> DataFrame:
-    rows = chunks.where(F.col("kind").isin("fn", "method")).where(F.col("doc_comment").isNotNull() | F.col("content").rlike(_PYTHON_HEAD))
-    return rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), "ident", "signature", "doc_comment", content.alias("content"))
+def _parsed(chunks: DataFrame, files: DataFrame | None, least_letters: int, with_content: bool) -> DataFrame:
+    rows = chunks.where(F.col("kind").isin("fn", "method") & F.col("chunk_id").isNotNull())
+    rows = rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id") if files is not None else F.lit(None).cast("long").alias("file_id"), "ident", "signature", "doc_comment", "content")
+    if files is None:
+        known = rows.withColumn("lang", F.lit(None).cast("string"))
+    else:
+        langs = files.where("file_id IS NOT NULL").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.min("lang").alias("lang"))
+        known = rows.join(langs, "file_id", "left")
+    # of rows without a comment only Python's can have documentation
+    python = (F.col("lang") == "python") | (F.col("lang").isNull() & F.col("content").rlike(r"^\s*(@[^\n]*\n\s*)*(async[ \t]+)?def[ \t]"))
+    known = known.where(F.col("doc_comment").isNotNull() | python)
+    schema = _SCHEMA + (", content string" if with_content else "")
+    return known.select("chunk_id", "ident", "signature", "doc_comment", "content", "lang").mapInArrow(_pairs(least_letters, with_content), schema)
 
 
-def documented_functions(chunks: DataFrame) -> DataFrame:
-    """(chunk_id): the functions of ``function_pairs``, without their texts; contents leave the JVM only where they hold the doc."""
-    only_head = F.when(F.col("doc_comment").isNull(), F.col("content"))
-    return _candidates(chunks, only_head).mapInArrow(_keys, "chunk_id long").distinct()
+def documented_functions(chunks: DataFrame, files: DataFrame | None = None, least_letters: int = LEAST_LETTERS) -> DataFrame:
+    """(chunk_id): the functions of ``function_pairs``, without their texts."""
+    return _parsed(chunks, files, least_letters, False).select("chunk_id").distinct()
 
 
-def function_pairs(chunks: DataFrame) -> DataFrame:
+def function_pairs(chunks: DataFrame, files: DataFrame | None = None, least_letters: int = LEAST_LETTERS) -> DataFrame:
     """(chunk_id, name, signature, description, doc_source, body_start, body_end, content) of the functions with real documentation.
 
-    Rows of other kinds and repeated rows are dropped; a null or empty description, ident or content never fails.  Where
-    ``doc_comment`` is null only Python has documentation, its docstring.
+    ``files`` (file_id, lang) tells the language of a chunk's file.  Rows of other kinds and repeated rows are dropped; rows of one key
+    that differ all come out; a null or empty description, ident or content never fails.  Where ``doc_comment`` is null only Python has
+    documentation, its docstring.  Body offsets are characters of the content; a function without a body has an empty range.
     """
-    schema = "chunk_id long, name string, signature string, description string, doc_source string, body_start int, body_end int, content string"
-    return _candidates(chunks, F.col("content")).mapInArrow(_pairs, schema).dropDuplicates(["chunk_id"])
+    return _parsed(chunks, files, least_letters, True).distinct()
