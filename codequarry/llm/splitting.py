@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 LIMIT = 4096
 OVERLAP_LINES = 2
 OVERLAP_BYTES = 128
+#: Levels of indentation that become levels of the tree.
+DEEPEST = 100
 
 _LINE = re.compile(rb"[^\n]*\n|[^\n]+\Z")
 _HEADING = re.compile(rb" {0,3}(#{1,6})(?:[ \t]|\r?\n|\Z)")
@@ -62,9 +64,9 @@ def _blocks(lines: list[bytes], first: int, last: int) -> list[Node]:
     return out
 
 
-def _by_indent(lines: list[bytes], first: int, last: int) -> list[Node]:
-    """Each line with the deeper-indented lines below it; a closing bracket belongs to its opener."""
-    if last - first == 1:
+def _by_indent(lines: list[bytes], first: int, last: int, depth: int = 0) -> list[Node]:
+    """Each line with the deeper-indented lines below it; a closing bracket belongs to its opener.  Beyond DEEPEST levels lines are a run."""
+    if last - first == 1 or depth > DEEPEST:
         return [Node(first, last)]
     shallow = min((_indent(x) for x in lines[first:last] if x.strip()), default=0)
     out, start = [], first
@@ -74,27 +76,29 @@ def _by_indent(lines: list[bytes], first: int, last: int) -> list[Node]:
             out.append(Node(start, i))
             start = i
     out.append(Node(start, last))
-    if len(out) == 1:
+    if len(out) == 1 and out[0].first == first and not any(_indent(x) > shallow for x in lines[first:last] if x.strip()):
         return [Node(i, i + 1) for i in range(first, last)]
     for node in out:
         if node.last - node.first > 1:
-            inner = _by_indent(lines, node.first + 1, node.last)
+            inner = _by_indent(lines, node.first + 1, node.last, depth + 1)
             node.children = [Node(node.first, node.first + 1), *inner]
     return out
 
 
 def _code_tree(lines: list[bytes]) -> list[Node]:
-    out = []
-    for node in _by_indent(lines, 0, len(lines)):
-        out.append(node)
-    grouped: list[Node] = []
+    """The nodes by indentation, grouped by the blocks between blank lines in one merged pass."""
+    nodes, grouped, at = _by_indent(lines, 0, len(lines)), [], 0
     for block in _blocks(lines, 0, len(lines)):
-        inside = [n for n in out if n.first < block.last and n.last > block.first]
-        if grouped and inside and inside[0].first < block.first:  # a blank line within one block: that block goes on
-            grouped[-1].last = max(grouped[-1].last, *(n.last for n in inside))
-            grouped[-1].children += [n for n in inside if n not in grouped[-1].children]
-        elif inside:
-            grouped.append(Node(inside[0].first, inside[-1].last, inside))
+        goes_on = at > 0 and nodes[at - 1].last > block.first  # a blank line within one node: its group goes on
+        stop = at
+        while stop < len(nodes) and nodes[stop].first < block.last:
+            stop += 1
+        if goes_on:
+            grouped[-1].children += nodes[at:stop]
+            grouped[-1].last = max(grouped[-1].last, nodes[stop - 1].last)
+        elif stop > at:
+            grouped.append(Node(nodes[at].first, nodes[stop - 1].last, nodes[at:stop]))
+        at = stop
     return grouped
 
 
@@ -138,7 +142,7 @@ def _markdown_tree(lines: list[bytes]) -> list[Node]:
     return sections(0, len(lines), 0)
 
 
-def _tail(piece: bytes) -> int:
+def _tail(piece: bytes, limit: int) -> int:
     """How many bytes of the end of ``piece`` the next one repeats."""
     ends = piece.rstrip(b"\n").count(b"\n")
     if b"\n" in piece:
@@ -148,11 +152,11 @@ def _tail(piece: bytes) -> int:
             if at < 0:
                 break
         size = len(piece) - at - 1
-        if size <= LIMIT // 2 and (ends or size < len(piece)):
+        if size <= limit // 2 and (ends or size < len(piece)):
             return size
-        if size == len(piece) <= LIMIT // 2:
+        if size == len(piece) <= limit // 2:
             return size
-    at = max(0, len(piece) - OVERLAP_BYTES)
+    at = max(0, len(piece) - min(OVERLAP_BYTES, limit // 4))
     while at < len(piece) and piece[at] & 0xC0 == 0x80:
         at += 1
     return len(piece) - at
@@ -186,7 +190,7 @@ def split_bytes(data: bytes, markup: bool = False, limit: int = LIMIT) -> list[t
     def close() -> None:
         nonlocal start
         pieces.append((start, done))
-        start = done - _tail(data[start:done])
+        start = done - _tail(data[start:done], limit)
 
     def put(node: Node) -> None:
         nonlocal done
@@ -195,7 +199,7 @@ def split_bytes(data: bytes, markup: bool = False, limit: int = LIMIT) -> list[t
             done = end
             return
         filled = done > (pieces[-1][1] if pieces else 0)
-        alone = end - offsets[node.first] + (len(data[start:done]) - (done - start) if not filled else _tail(data[start:done]))
+        alone = end - offsets[node.first] + (len(data[start:done]) - (done - start) if not filled else _tail(data[start:done], limit))
         if filled and alone <= limit:
             close()
             done = end
@@ -243,10 +247,10 @@ def split_oversized(chunks: DataFrame, key: str = "chunk_id", limit: int = LIMIT
     """(key, piece, start_line, end_line, start_offset, overlap_bytes, content): the pieces of rows over ``limit`` bytes.
 
     Pieces count from 1; offsets are bytes within the row's content.  Null contents and rows within the limit have no pieces;
-    rows equal in key, first line, kind and content count once; lines are null where ``start_line`` is.  Only oversized rows leave
-    the JVM.
+    rows equal in key, first line, kind and content count once, rows that differ in one of them come out each; lines are null where
+    ``start_line`` is.  Only oversized rows leave the JVM.
     """
-    large = chunks.where(F.octet_length("content") > limit).select(key, "content", "start_line", "kind").dropDuplicates([key, "start_line"])
+    large = chunks.where(F.octet_length("content") > limit).select(key, "content", "start_line", "kind").distinct()
     kind = chunks.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start_line int, end_line int, start_offset int, overlap_bytes int, content string"
     return large.mapInArrow(split_batches(key, limit), schema)

@@ -64,3 +64,19 @@ def test_on_spark(spark, size, pieces):
     if got:
         assert (got[0]["piece"], got[0]["start_line"], got[1]["end_line"], got[0]["overlap_bytes"]) == (1, 7, 7, 0)
         assert got[0]["content"] + got[1]["content"][got[1]["overlap_bytes"] :] == "a" * size
+
+
+def test_rows_that_differ(spark):
+    """Rows of one key and first line are one only if kind and content are the same too."""
+    rows = [(1, "a" * 5000, 7, "fn"), (1, "a" * 5000, 7, "fn"), (1, "b" * 5000, 7, "fn"), (1, "a" * 5000, 7, "section"), (1, "a" * 5000, 8, "fn")]
+    got = splitting.split_oversized(spark.createDataFrame(rows, "chunk_id long, content string, start_line int, kind string")).where("piece = 1").collect()
+    assert sorted((r["start_line"], r["content"][0]) for r in got) == [(7, "a"), (7, "a"), (7, "b"), (8, "a")]
+
+
+def test_deep_and_small_limits():
+    check("".join(" " * k + f"x{k}\n" for k in range(1500)).encode())
+    check("".join("\t" * (k % 400) + "y\n\n" for k in range(4000)).encode())
+    data = "".join(f"def f{k}():\n    return {k}\n\n" for k in range(400)).encode()
+    for limit in (128, 300, 1000):
+        check(data, limit=limit)
+        check(b"z" * 3000, limit=limit)
