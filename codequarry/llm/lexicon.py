@@ -80,7 +80,6 @@ class Lexicon:
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.arrays, self.root = arrays, int(arrays["root"][0])
-        self._ids: tuple[list[int], list[int]] | None = None
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -120,8 +119,8 @@ class Lexicon:
                 break
         return out
 
-    def ids(self, rank: int) -> tuple[int, ...]:
-        if self._ids is None:  # plain lists are read faster, one rank at a time
-            self._ids = self.arrays["starts"].tolist(), self.arrays["ids"].tolist()
-        starts, ids = self._ids
-        return tuple(ids[starts[rank] : starts[rank + 1]])
+    def ids(self, ranks: np.ndarray) -> list[tuple[int, ...]]:
+        """The ids of the words of these ranks, read from the map."""
+        starts, ids = self.arrays["starts"], self.arrays["ids"]
+        low, high = starts[ranks], starts[ranks + 1]
+        return [tuple(ids[a:b].tolist()) for a, b in zip(low.tolist(), high.tolist(), strict=True)]

@@ -48,11 +48,11 @@ def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return docpairs.documented_functions(table(spark, folder, "chunks"))
+    return docpairs.documented_functions(table(spark, folder, "chunks"), table(spark, folder, "files"))
 
 
 def p7_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return docpairs.function_pairs(table(spark, folder, "chunks"))
+    return docpairs.function_pairs(table(spark, folder, "chunks"), table(spark, folder, "files"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +60,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill(_sizes(spark, folder))
+    return packing.fill(_sizes(spark, folder)).drop("loss")
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +70,19 @@ def _sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_report(p9_containers(spark, folder))
+    return packing.pack_report(packing.fill(_sizes(spark, folder)))
+
+
+#: Limits of ``p9_instruction``: of segments, and of loss-bearing tokens, those behind a text's first line (its prompt).
+INSTRUCTION = {"segments": 8, "loss": "answer", "loss_capacity": 1792}
+
+
+def p9_instruction(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(_sizes(spark, folder), **INSTRUCTION)
+
+
+def p9_instruction_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_report(p9_instruction(spark, folder), segments=INSTRUCTION["segments"], loss_capacity=INSTRUCTION["loss_capacity"])
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +108,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_report": p9_report,
+    "p9_instruction": p9_instruction,
+    "p9_instruction_report": p9_instruction_report,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }

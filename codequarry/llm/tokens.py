@@ -11,6 +11,7 @@ Defined cases: an empty or null text has the empty list of ids; the strings of s
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import os
 import re
@@ -29,8 +30,11 @@ from codequarry.plans.workspace import FileStore, materialised, new_folder
 #: Size bound of the lexicon.
 LEXICON_WORDS = 65_536
 _LONGEST = 64
-#: A worker forgets its memo of words beyond this many.
+#: A worker forgets its memo of words beyond this many, or this many bytes of words and ids.
 _MEMO_WORDS = 400_000
+_MEMO_BYTES = 64_000_000
+#: What a word of the memo takes beside its characters (string, tuple, entry), and what an id takes, in bytes.
+_WORD_BYTES, _ID_BYTES = 200, 40
 RANKS_FILE = os.environ.get("CODEQUARRY_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 #: Fixed value: how the vocabulary's public description splits a text into words before any merge.
@@ -96,8 +100,11 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text)).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, text: str = "text", ranks: str = RANKS_FILE, words: int = LEXICON_WORDS) -> str:
-    """Count the corpus, compile its most frequent words, hand the files to all executors; the name they are found under."""
+def build_lexicon(docs: DataFrame, text: str = "text", ranks: str = RANKS_FILE, words: int = LEXICON_WORDS) -> tuple[str, str]:
+    """Count the corpus, compile its most frequent words, hand lexicon and vocabulary to all executors; the names they are found under.
+
+    Only the driver reads ``ranks`` where it lies; the executors get copies.
+    """
     spark = docs.sparkSession
     counts = materialised(word_counts(docs, text).where("n > 1"), "word-counts")
     least, kept = 2, 0
@@ -111,8 +118,15 @@ def build_lexicon(docs: DataFrame, text: str = "text", ranks: str = RANKS_FILE,
     pairs = [(w.encode(), list(merge(w))) for w in frequent]
     root, _, name = new_folder(spark, "lexicon").rpartition("/")
     image = to_bytes(compile_words([p for p in pairs if 0 < len(p[0]) <= _LONGEST]))
-    spark.sparkContext.addFile(FileStore(spark, root).write_bytes(name, image))
-    return name
+    store = FileStore(spark, root)
+    spark.sparkContext.addFile(store.write_bytes(name, image))
+    with open(ranks, "rb") as file:
+        data = file.read()
+    vocabulary = f"ranks-{hashlib.sha256(data).hexdigest()[:32]}"
+    if vocabulary not in (shipped := spark.sparkContext.__dict__.setdefault("_codequarry_files", set())):  # once per context
+        spark.sparkContext.addFile(store.write_bytes(vocabulary, data))
+        shipped.add(vocabulary)
+    return name, vocabulary
 
 
 class Encoder:
@@ -120,25 +134,27 @@ class Encoder:
 
     def __init__(self, name: str, ranks: str):
         self._lexicon = Lexicon.mapped(SparkFiles.get(name))
-        self._split, self._merge, self._ranks, self._memo = Splitter(), None, ranks, {}
+        self.split, self._merge, self._ranks = Splitter(), None, ranks
+        self._memo: dict[str, tuple[int, ...]] = {}
+        self._bytes = 0
 
     def _learn(self, words: list[str]) -> None:
-        memo, ids = self._memo, self._lexicon.ids
-        unseen = []
-        for word, rank in zip(words, self._lexicon.ranks([w.encode() for w in words]).tolist(), strict=True):
-            if rank < 0:
-                unseen.append(word)
-            else:
-                memo[word] = ids(rank)
+        memo, ranks = self._memo, self._lexicon.ranks([w.encode() for w in words])
+        held = np.flatnonzero(ranks >= 0)
+        memo.update(zip([words[k] for k in held.tolist()], self._lexicon.ids(ranks[held]), strict=True))
+        unseen = [words[k] for k in np.flatnonzero(ranks < 0).tolist()]
         if unseen:
-            self._merge = self._merge or Merger(self._ranks)
+            self._merge = self._merge or Merger(SparkFiles.get(self._ranks))
             memo.update(zip(unseen, map(self._merge, unseen), strict=True))
+        self._bytes += sum(_WORD_BYTES + len(w) + _ID_BYTES * len(memo[w]) for w in words)
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
         """Per text the ids of each of its words."""
-        split = [self._split(t) for t in texts]
-        if len(self._memo) > _MEMO_WORDS:
-            self._memo = {}
+        return self.encoded([self.split(t) for t in texts])
+
+    def encoded(self, split: list[list[str]]) -> list[list[tuple[int, ...]]]:
+        if len(self._memo) > _MEMO_WORDS or self._bytes > _MEMO_BYTES:
+            self._memo, self._bytes = {}, 0
         fresh = set(itertools.chain.from_iterable(split)).difference(self._memo)
         self._learn(list(fresh))
         of = self._memo.__getitem__
@@ -154,12 +170,12 @@ def _id_list(encoded: list[list[tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarr
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS_FILE, words: int = LEXICON_WORDS) -> DataFrame:
     """(key, ids): the token ids of every row's text."""
-    name = build_lexicon(docs, text, ranks, words)
+    name, vocabulary = build_lexicon(docs, text, ranks, words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in slices(batches, 1):
-            encoder = encoder or Encoder(name, ranks)
+            encoder = encoder or Encoder(name, vocabulary)
             offsets, ids = _id_list(encoder(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [key, "ids"])
 
@@ -167,16 +183,32 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def _behind_first_line(text: str | None, words: list[tuple[int, ...]], split: list[str]) -> int:
+    """The number of ids of the words that begin behind the first line; of all words where there is one line only."""
+    first = (text or "").find("\n") + 1
+    if not first:
+        return sum(map(len, words))
+    at = total = 0
+    for word, ids in zip(split, words, strict=True):
+        total += len(ids) if at >= first else 0
+        at += len(word)
+    return total
+
+
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS_FILE, words: int = LEXICON_WORDS) -> DataFrame:
-    """(key, tokens): the number of token ids of every row's text."""
-    name = build_lexicon(docs, text, ranks, words)
+    """(key, tokens, answer): the number of token ids of every row's text, and of those behind its first line (all, if it has one only)."""
+    name, vocabulary = build_lexicon(docs, text, ranks, words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in slices(batches, 1):
-            encoder = encoder or Encoder(name, ranks)
-            sizes = [sum(map(len, words)) for words in encoder(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], [key, "tokens"])
+            encoder = encoder or Encoder(name, vocabulary)
+            texts = batch.column(1).to_pylist()
+            split = [encoder.split(t) for t in texts]
+            encoded = encoder.encoded(split)
+            sizes = [sum(map(len, words)) for words in encoded]
+            answers = list(map(_behind_first_line, texts, encoded, split))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(answers, pa.int64())], [key, "tokens", "answer"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens long, answer long")

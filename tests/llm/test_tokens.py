@@ -50,8 +50,10 @@ def test_transducer(words, others):
         file.flush()
         lexicon = Lexicon.mapped(file.name)
         asked = [*words, *others]
-        for word, rank in zip(asked, lexicon.ranks(asked).tolist(), strict=True):
-            assert (list(lexicon.ids(rank)) if rank >= 0 else None) == words.get(word)
+        ranks = lexicon.ranks(asked)
+        assert [list(i) for i in lexicon.ids(ranks[ranks >= 0])] == [words[w] for w in asked if w in words]
+        for word, rank in zip(asked, ranks.tolist(), strict=True):
+            assert (rank >= 0) == (word in words)
 
 
 def test_suffixes_are_shared():
