@@ -1,25 +1,29 @@
 """Processing only new or changed records.
 
-The state of the last successful run, one row per key with its content hash, is a Parquet table in a folder of
-versions.  A run hashes its current rows, joins them with the state, writes its changes together with the next
-version of the state as *one* table, and then swaps a pointer file by an atomic rename.  A run that dies before the
-swap leaves the pointer at the old version: its half-written folder is never read and is overwritten by the retry,
-so no record is skipped; a run that dies after the swap finds its own token in the pointer and changes nothing, so
-no record is repeated.
+The state of the last successful run, one hash per key, is kept as a base and the changes of the runs since (at most ``COMPACT``), each
+a Parquet table in a folder of its own attempt.  A run hashes its current rows, joins them with the state of its scopes and writes only
+what is new, changed or struck; every ``COMPACT`` runs a new base is written too.  Then it commits: a file named by the next number,
+which names the folders of the state, is put in place by a rename that fails if the number is taken.  A run that dies before that leaves
+a folder nobody reads, so no record is skipped.  A run that finds its number taken starts over on the state of the other one, so no run is
+lost.  Every committed run has a token; a run whose token is committed does nothing, however old it is, so no record is repeated.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from codequarry.plans.workspace import FileStore, materialised, new_folder
 
-#: So many tokens of past runs are remembered; an older run is not repeated by anybody.
-TOKENS = 1000
-_STATE = "scope string, key string, hash string, alive boolean, changed boolean, tag long"
+#: After so many runs the state is written as one table again.
+COMPACT = 8
+#: A run that finds its number taken starts over so often.
+ATTEMPTS = 20
+_DELTA = "scope string, key string, hash string, alive boolean, changed boolean, tag long, version long"
 
 
 def content_hash(*columns: str | Column) -> Column:
@@ -29,12 +33,13 @@ def content_hash(*columns: str | Column) -> Column:
 
 
 class ChangeTracker:
-    """Versions of the state below ``root`` and the pointer to the valid one.
+    """Commits and tables of the state below ``root``: ``commits/<number>.json``, ``tokens/<digest>``, ``data/<folder>``.
 
     ``apply`` takes one row per (scope, key): a *scope* is what one run covers (a repository), a null ``hash`` is a
     key that was seen but could not be read.  Defined cases: a seen key without a hash keeps the hash on record; a key
     of a scope in this run that was not seen is struck from the record if the scope's run was complete, else kept;
-    scopes that are not in this run keep their record; empty readings or an empty state are ordinary inputs.
+    scopes that are not in this run keep their record, and readings of theirs are left out; empty readings or an empty state are
+    ordinary inputs.
     """
 
     POINTER = "CURRENT"
@@ -42,22 +47,54 @@ class ChangeTracker:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self._files = spark, root.rstrip("/"), FileStore(spark, root)
 
-    def pointer(self) -> dict:
-        text = self._files.read_text(self.POINTER)
-        return json.loads(text) if text else {"version": 0, "tokens": []}
+    @staticmethod
+    def _commit_name(number: int) -> str:
+        return f"commits/{number:09d}.json"
+
+    def commit_of(self, number: int) -> dict | None:
+        """{version, token, base, deltas, changes} of a committed run; base and deltas are folders of the state after it."""
+        text = self._files.read_text(self._commit_name(number)) if number else None
+        return json.loads(text) if text else None
 
-    def _version(self, number: int) -> DataFrame:
-        if number == 0:
-            return self.spark.createDataFrame([], _STATE)
-        return self.spark.read.schema(_STATE).parquet(f"{self.root}/v{number:06d}")
+    def pointer(self) -> dict:
+        """The last commit.  The pointer file is a hint where to look; commits behind it are found by their number."""
+        number = int(self._files.read_text(self.POINTER) or 0)
+        found = self.commit_of(number)
+        while later := self.commit_of((found["version"] if found else 0) + 1):
+            found = later
+        return found or {"version": 0, "token": None, "base": None, "deltas": [], "changes": None}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], _DELTA)
+        return self.spark.read.schema(_DELTA).parquet(*(f"{self.root}/data/{f}" for f in folders))
+
+    def _state(self, at: dict) -> DataFrame:
+        if not at["deltas"]:
+            return self._read([at["base"]] if at["base"] else [])
+        rows = self._read([*([at["base"]] if at["base"] else []), *at["deltas"]])
+        last = F.max_by(F.struct("hash", "alive"), "version").alias("last")
+        return rows.groupBy("scope", "key").agg(last).where("last.alive").select("scope", "key", "last.hash")
 
     def state(self) -> DataFrame:
         """(scope, key, hash) on record after the last committed run."""
-        return self._version(self.pointer()["version"]).where("alive").select("scope", "key", "hash")
+        return self._state(self.pointer()).select("scope", "key", "hash")
+
+    def changes(self, first: int, last: int | None = None) -> DataFrame:
+        """(tag, scope, key, hash) that the runs of these versions (first to last) found new or changed."""
+        commits = [self.commit_of(n) for n in range(first, (first if last is None else last) + 1)]
+        return self._read([c["changes"] for c in commits if c]).where("changed").select("tag", "scope", "key", "hash")
 
-    def changes(self, version: int) -> DataFrame:
-        """(tag, scope, key, hash) that the run of this version found new or changed."""
-        return self._version(version).where("changed").select("tag", "scope", "key", "hash")
+    def _token_name(self, token: str) -> str:
+        return f"tokens/{hashlib.sha256(token.encode()).hexdigest()}"
+
+    def committed(self, token: str) -> int | None:
+        """The version that a run of this token was committed as."""
+        at = self.pointer()
+        if at["token"] == token:
+            return at["version"]
+        text = self._files.read_text(self._token_name(token))
+        return int(text) if text else None
 
     def apply(self, readings: DataFrame, scopes: DataFrame, token: str) -> int:
         """Run once; gives the committed version.
@@ -65,30 +102,53 @@ class ChangeTracker:
         readings: (scope, key, hash), one row per key.  scopes: (scope, complete, tag), the scopes of this run.
         token: names this run; a repetition with a committed token does nothing.
         """
-        at = self.pointer()
-        if token in at["tokens"]:
-            return at["version"] - (len(at["tokens"]) - 1 - at["tokens"].index(token))
-        number = at["version"] + 1
-        compared(self.state(), readings, scopes).write.mode("overwrite").parquet(f"{self.root}/v{number:06d}")
-        self._files.replace_text(self.POINTER, json.dumps({"version": number, "tokens": [*at["tokens"], token][-TOKENS:]}))
-        return number
+        for _ in range(ATTEMPTS):
+            at = self.pointer()
+            if at["token"] is not None:  # whoever comes next sees to it that the token of the last commit can be found
+                self._files.create_text(self._token_name(at["token"]), str(at["version"]))
+            if (version := self.committed(token)) is not None:
+                return version
+            number = at["version"] + 1
+            folder = f"{number:09d}-{uuid.uuid4().hex}"
+            found = compared(self._state(at), readings, scopes).withColumn("version", F.lit(number).cast("long"))
+            found.write.parquet(f"{self.root}/data/{folder}")
+            commit = {"version": number, "token": token, "base": at["base"], "deltas": [*at["deltas"], folder], "changes": folder}
+            if len(commit["deltas"]) >= COMPACT:
+                base = f"{number:09d}-base-{uuid.uuid4().hex}"
+                whole = self._state(commit).selectExpr("scope", "key", "hash", "true AS alive", "false AS changed", "CAST(NULL AS LONG) AS tag", f"CAST({number} AS LONG) AS version")
+                whole.write.parquet(f"{self.root}/data/{base}")
+                commit |= {"base": base, "deltas": []}
+            if self._files.create_text(self._commit_name(number), json.dumps(commit)):
+                self._files.create_text(self._token_name(token), str(number))
+                self._files.replace_text(self.POINTER, str(number))
+                return number
+            for lost in {folder, commit["base"]} - {at["base"]} - {None}:
+                self._files.remove(f"data/{lost}")
+        raise RuntimeError(f"run {token} found its number taken {ATTEMPTS} times")
 
     def forget_before(self, version: int) -> None:
-        """Delete versions that nobody reads any more."""
-        for number in range(1, min(version, self.pointer()["version"])):
-            self._files.remove(f"v{number:06d}")
+        """Delete the tables of commits before ``version`` that the last state does not need; their changes cannot be read any more."""
+        at = self.pointer()
+        needed = {at["base"], *at["deltas"]}
+        for number in range(min(version, at["version"]) - 1, 0, -1):
+            commit = self.commit_of(number)
+            lost = {commit["changes"], commit["base"]} - needed - {None}
+            if not any([self._files.remove(f"data/{name}") for name in lost]) and lost:
+                break  # older ones are gone already
 
 
 def compared(state: DataFrame, readings: DataFrame, scopes: DataFrame) -> DataFrame:
-    """The state joined with one run's readings: the next state (``alive``) and the run's changes (``changed``)."""
-    on_record = state.select("scope", "key", F.col("hash").alias("old"))
-    seen = readings.select("scope", "key", F.col("hash").alias("new"), F.lit(True).alias("seen"))
-    both = on_record.join(seen, ["scope", "key"], "full_outer").join(scopes.select("scope", "complete", "tag"), "scope", "left")
-    changed = F.col("new").isNotNull() & F.col("tag").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))
-    in_run = F.col("tag").isNotNull()
-    hash_after = F.coalesce(F.when(in_run, F.col("new")), F.col("old"))
-    alive = hash_after.isNotNull() & (F.col("seen").isNotNull() | ~in_run | ~F.coalesce(F.col("complete"), F.lit(True)))
-    return both.select("scope", "key", hash_after.alias("hash"), alive.alias("alive"), changed.alias("changed"), "tag").where("alive or changed")
+    """What one run changes of the state: new and changed rows (``changed``) and struck ones (not ``alive``)."""
+    own = scopes.select("scope", "complete", "tag")
+    on_record = state.select("scope", "key", F.col("hash").alias("old")).join(own, "scope")
+    seen = readings.select("scope", "key", F.col("hash").alias("new"), F.lit(True).alias("seen")).join(own, "scope")
+    a, b = on_record.alias("a"), seen.alias("b")
+    both = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.key") == F.col("b.key")), "full_outer")
+    first = {c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")) for c in ("scope", "key", "tag", "complete")}
+    changed = F.col("new").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))
+    struck = F.col("seen").isNull() & F.coalesce(first["complete"], F.lit(True))
+    rows = both.select(*(first[c].alias(c) for c in ("scope", "key")), F.coalesce("new", "old").alias("hash"), (~struck).alias("alive"), changed.alias("changed"), first["tag"].alias("tag"))
+    return rows.where("changed OR NOT alive")
 
 
 def ok_runs(runs: DataFrame) -> DataFrame:
@@ -126,13 +186,9 @@ def replay(runs: DataFrame, scans: DataFrame, root: str | None = None) -> tuple[
         "readings", "step",
     )
     tracker = ChangeTracker(spark, root or new_folder(spark, "changes"))
-    found: list[DataFrame] = []
+    first = tracker.pointer()["version"] + 1
     for step in range(1, steps + 1):
         scopes = good.where(F.col("step") == step).select(F.col("repo").alias("scope"), "complete", F.col("run_id").alias("tag"))
-        version = tracker.apply(readings.where(F.col("step") == step), scopes, f"step-{step}")
-        found.append(tracker.changes(version))
-    empty = spark.createDataFrame([], "tag long, scope string, key string, hash string")
-    out = empty
-    for part in found:
-        out = out.unionByName(part)
-    return tracker, out.select(F.col("tag").alias("run_id"), F.col("key").alias("path"))
+        tracker.apply(readings.where(F.col("step") == step), scopes, f"step-{step}")
+    found = tracker.changes(first, first + steps - 1) if steps else tracker.changes(1, 0)
+    return tracker, found.select(F.col("tag").alias("run_id"), F.col("key").alias("path"))

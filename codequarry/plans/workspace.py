@@ -1,18 +1,23 @@
 """The shared work folder: where tables that cut a lineage are written.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; every executor can read it, so a table
-written there survives the loss of executors.  Only where that setting is absent (tests, notebooks on one
-machine) a temporary folder is made and registered as the checkpoint folder.
+written there survives the loss of executors.  Only where that setting is absent and the master is local (tests, notebooks on
+one machine) a temporary folder is made and registered as the checkpoint folder; on a cluster its absence is an error.
+
+What was written is deleted by ``clean``, which callers may use once they are done with a query's result, and at the end of the process.
 """
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -26,14 +31,48 @@ def shared_root(spark: SparkSession) -> str:
     in_use = spark.sparkContext._jsc.sc().getCheckpointDir()
     if in_use.isDefined():
         return in_use.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="codequarry-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"{_SETTING} has to name a folder that all machines of {master} share")
+    own = tempfile.mkdtemp(prefix="codequarry-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.sparkContext.setCheckpointDir("file://" + own)
+    return "file://" + own
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path below the shared folder that nothing else uses; it is not created."""
-    return f"{shared_root(spark)}/codequarry/{purpose}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; it is not created, and deleted by ``clean``."""
+    root = f"{shared_root(spark)}/codequarry"
+    name = f"{purpose}-{uuid.uuid4().hex}"
+    store = FileStore(spark, root)
+    if not _STORES:
+        atexit.register(_clean_all)
+    _STORES.setdefault(root, (store, set()))[1].add(name)
+    return f"{root}/{name}"
+
+
+#: The folders of this process, by root.
+_STORES: dict[str, tuple[FileStore, set[str]]] = {}
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all folders written for queries so far; results that are still to be read from them are lost.  How many there were."""
+    root = f"{shared_root(spark)}/codequarry"
+    store, names = _STORES.get(root, (None, set()))
+    gone = {n for n in names if not n.startswith("package-")}
+    for name in gone:
+        store.remove(name)
+    names -= gone
+    return len(gone)
+
+
+def _clean_all() -> None:
+    for store, names in _STORES.values():
+        for name in names:
+            try:
+                store.remove(name)
+            except Exception:  # noqa: BLE001 - the engine may be gone, and its temporary folder with it
+                break
 
 
 def materialised(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
@@ -109,6 +148,44 @@ class FileStore:
         options[0] = rename.OVERWRITE
         context.rename(fresh, self._path(name), options)
 
+    def create_text(self, name: str, text: str) -> bool:
+        """Put ``text`` under ``name`` whole, unless there is a file of that name; whether it was put there."""
+        if self.read_text(name) is not None:
+            return False
+        fresh = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        fs = fresh.getFileSystem(self._conf)
+        stream = fs.create(fresh, True)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        if fs.getScheme() == "file":  # the only rename that fails on an existing file here is that of a hard link
+            taken = self._link(fresh, self._path(name))
+            fs.delete(fresh, False)
+            return taken
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self._conf)
+        try:
+            context.rename(fresh, self._path(name), self._jvm.java.lang.reflect.Array.newInstance(self._jvm.org.apache.hadoop.fs.Options.Rename.NONE.getClass(), 0))
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            fs.delete(fresh, False)
+            return False
+        return True
+
+    def _link(self, fresh, target) -> bool:
+        paths = self._jvm.java.nio.file.Paths
+        try:
+            self._jvm.java.nio.file.Files.createLink(paths.get(target.toUri().getPath(), self._no_words()), paths.get(fresh.toUri().getPath(), self._no_words()))
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            return False
+        return True
+
+    def _no_words(self):
+        return self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("java.lang.String"), 0)
+
     def write_bytes(self, name: str, data: bytes) -> str:
         """Write a new file; its full path."""
         path = self._path(name)
@@ -119,6 +196,7 @@ class FileStore:
             stream.close()
         return f"{self.root}/{name}"
 
-    def remove(self, name: str) -> None:
+    def remove(self, name: str) -> bool:
+        """Delete a file or folder; whether there was one."""
         path = self._path(name)
-        path.getFileSystem(self._conf).delete(path, True)
+        return path.getFileSystem(self._conf).delete(path, True)

@@ -69,8 +69,8 @@ def test_a_run_is_applied_once_and_a_crash_leaves_no_trace(spark, tmp_path):
     assert tracker.apply(rows, scopes, "one") == 1
     assert tracker.apply(rows, scopes, "one") == 1
     assert tracker.changes(1).count() == 1
-    # a run that died before the swap: its folder is there, the pointer is not
-    changes.compared(tracker.state(), rows.withColumn("hash", rows.key), scopes).write.parquet(f"file://{tmp_path}/t/v000002")
+    # a run that died before its commit: its folder is there, the commit is not
+    changes.compared(tracker.state(), rows.withColumn("hash", rows.key), scopes).write.parquet(f"file://{tmp_path}/t/data/000000002-dead")
     assert [tuple(r) for r in tracker.state().collect()] == [("s", "k", "h")]
     assert tracker.apply(rows, scopes, "two") == 2
     assert tracker.changes(2).count() == 0
@@ -78,6 +78,45 @@ def test_a_run_is_applied_once_and_a_crash_leaves_no_trace(spark, tmp_path):
     assert tracker.state().count() == 1
 
 
+def test_old_tokens_and_compaction(spark, tmp_path, monkeypatch):
+    """A run older than many commits is not applied again; after every few runs the state is one table; old tables go."""
+    monkeypatch.setattr(changes, "COMPACT", 3)
+    tracker = changes.ChangeTracker(spark, f"file://{tmp_path}/t")
+    one = lambda scope, key, hash_: spark.createDataFrame([(scope, key, hash_)], "scope string, key string, hash string")
+    scope = lambda name, complete=True: spark.createDataFrame([(name, complete, 7)], "scope string, complete boolean, tag long")
+    for k in range(7):
+        assert tracker.apply(one("ab"[k % 2], f"k{k}", "h"), scope("ab"[k % 2], False), f"run-{k}") == k + 1
+    assert tracker.apply(one("a", "k0", "other"), scope("a"), "run-0") == 1
+    assert {tuple(r)[1] for r in tracker.state().collect()} == {f"k{k}" for k in range(7)}
+    assert tracker.pointer()["version"] == 7 and len(tracker.pointer()["deltas"]) == 1
+    # a commit whose pointer and token were not written any more is found all the same
+    tracker._files.replace_text("CURRENT", "5")
+    assert tracker.pointer()["version"] == 7 and tracker.committed("run-6") == 7
+    before = len(list((tmp_path / "t" / "data").iterdir()))
+    tracker.forget_before(7)
+    assert len(list((tmp_path / "t" / "data").iterdir())) < before and tracker.state().count() == 7
+    # the keys of a complete run of one scope are struck, the other scope stays
+    assert tracker.apply(one("a", "k0", "h"), scope("a"), "last") == 8
+    assert {tuple(r)[1] for r in tracker.state().collect()} == {"k0", "k1", "k3", "k5"} and tracker.changes(8).count() == 0
+
+
+def test_two_writers(spark, tmp_path):
+    """Two runs that start from the same version are both on record."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/t"
+
+    def run_one(k):
+        rows = spark.createDataFrame([(f"s{k}", "k", f"h{k}")], "scope string, key string, hash string")
+        return changes.ChangeTracker(spark, root).apply(rows, spark.createDataFrame([(f"s{k}", True, k)], "scope string, complete boolean, tag long"), f"run-{k}")
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(run_one, range(4)))
+    tracker = changes.ChangeTracker(spark, root)
+    assert sorted(versions) == [1, 2, 3, 4] and {r["scope"] for r in tracker.state().collect()} == {"s0", "s1", "s2", "s3"}
+    assert tracker.changes(1, 4).count() == 4
+
+
 def test_content_hash_tells_null_from_empty(spark):
     df = spark.createDataFrame([("a", "b"), ("ab", ""), ("ab", None)], "x string, y string")
     assert df.select(changes.content_hash("x", "y").alias("h")).distinct().count() == 3
