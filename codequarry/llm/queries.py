@@ -27,6 +27,10 @@ def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
     return handwritten.scored(table(spark, folder, "files"), table(spark, folder, "sources"))
 
 
+def p4_heldout(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.held_out(table(spark, folder, "files"), table(spark, folder, "sources"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.broken(table(spark, folder, "files"), table(spark, folder, "sources")).select("file_id")
 
@@ -39,6 +43,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_pairs(table(spark, folder, "chunks"))
 
 
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.linked_chunks(table(spark, folder, "chunks"))
+
+
 def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_shares(table(spark, folder, "chunks"))
 
@@ -98,9 +106,11 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
+    "p4_heldout": p4_heldout,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p6_shares": p6_shares,
     "p6_kept": p6_kept,
     "p7_found": p7_found,

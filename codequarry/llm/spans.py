@@ -2,8 +2,9 @@
 
 Line and paragraph hashing.  The units of a text are the paragraphs of ``UNIT`` characters that start where a line starts; in
 lines longer than ``LONG_LINE`` also where a rolling hash has its least value among ``REACH`` places, which depends on the text
-around that place only.  Nothing is normalised.  Digests of units are grouped globally; only units that stand in different
-files go on, the earliest ranked occurrence of each being kept as its origin, with offsets retained.
+around that place only.  Units are normalised sign by sign (capitals, tabs) before they are hashed, so offsets stay as they are, and
+digests are grouped globally; only units that stand in different files go on.  What is shared is then checked verbatim.  Of a shared
+span the earliest ranked occurrence is kept; ``without_shared`` removes the others and gives their original offsets.
 
 Why no shared span of ``SPAN`` characters is missed: if its first ``SPAN - UNIT`` characters hold a line start, the unit there
 lies in the span, in both records.  If not, they lie within one long line in both records, and hold a least place of their own,
@@ -12,6 +13,9 @@ again the same in both.
 The exact check extends every match of two units to both sides over the ``SPAN - UNIT`` characters around it.  Groups of up to
 ``SMALL_GROUP`` units are compared pairwise; in larger ones the window around the unit grows in three steps to a whole span, each step splitting the
 group by the hash of the longer window, so that many records that share a short piece (a licence, say) never meet in pairs.
+
+Digests that hold a large part of all rows, of which there cannot be many, are joined by broadcast (``hot``), so that a digest of a third of all rows is no task of its own.  Links are between classes of equal texts (``class_links`` with
+``class_members``); only ``shared_pairs`` writes them out for all copies.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry.llm.batches import slices
+from codequarry.llm.hot import attach
 from codequarry.plans.workspace import materialised
 
 SPAN = 300
@@ -31,6 +36,10 @@ AROUND = SPAN - UNIT
 LONG_LINE = 200
 GRAM, REACH = 8, 128
 SMALL_GROUP = 48
+#: Normalising of units, sign by sign.
+_NORMAL = np.arange(128, dtype=np.uint32)
+_NORMAL[ord("A") : ord("Z") + 1] += 32
+_NORMAL[ord("\t")] = ord(" ")
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -58,6 +67,11 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def normalised(points: np.ndarray) -> np.ndarray:
+    """ASCII capitals as small letters and tabs as blanks; all other signs as they are."""
+    return np.where(points < 128, _NORMAL[np.minimum(points, 127)], points)
+
+
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """pick over every window of ``width`` (a power of 2) values."""
     step = 1
@@ -89,8 +103,10 @@ def anchors(points: np.ndarray, hashes: Hashes, bounds: np.ndarray) -> tuple[np.
     limit = bounds[np.searchsorted(bounds, places, "right")]
     places = places[places + UNIT <= limit]
     digests = hashes.of(places, UNIT)
-    if len(places) > 2:  # a run of equal units at adjacent places (one repeated character) is known by its two ends
-        same = (digests[1:] == digests[:-1]) & (np.diff(places) == 1)
+    if len(places) > 2:  # a run of units of one repeated character at adjacent places is known by its two ends
+        alike = np.concatenate([[0], np.cumsum(points[1:] == points[:-1])])
+        one = alike[np.minimum(places[:-1] + UNIT, len(points) - 1)] - alike[places[:-1]] == UNIT
+        same = (digests[1:] == digests[:-1]) & (np.diff(places) == 1) & one
         inner = np.concatenate([[False], same[:-1] & same[1:], [False]])
         places, digests = places[~inner], digests[~inner]
     return places, digests
@@ -101,7 +117,7 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [code_points(t) for t in batch.column(2).to_pylist()]
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         points = np.concatenate(parts)
-        places, digests = anchors(points, Hashes(points), bounds)
+        places, digests = anchors(points, Hashes(normalised(points)), bounds)
         text = np.searchsorted(bounds, places, "right") - 1
         take = pa.array(text)
         offsets = pa.array((places - bounds[text]).astype(np.int32))
@@ -194,10 +210,11 @@ def _large_groups(rows: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
         if to == SPAN:
             span = F.substring("slice", F.col("window") + 1, F.lit(SPAN))
             return parts, grown.select("key", span.alias("text"), "class", (F.col("at") - F.col("before") + F.col("window")).alias("at")).distinct()
-        sizes = grown.groupBy("key").agg(F.count("*").alias("m"), (F.min("class") != F.max("class")).alias("mixed")).where("mixed")
-        grown = materialised(grown.join(sizes.select("key", "m"), "key"), "sized-windows")
-        parts.append(_pairwise(grown.where(F.col("m") <= SMALL_GROUP), "key"))
-        rows = grown.where(F.col("m") > SMALL_GROUP).select("class", "at", "before", "slice", "window")
+        sizes = grown.groupBy("key").agg(F.count("*").alias("n"), (F.min("class") != F.max("class")).alias("mixed")).where("mixed")
+        sizes = materialised(sizes.select("key", "n"), "window-sizes")
+        grown = materialised(attach(grown, sizes, "key", grown.count()), "sized-windows")
+        parts.append(_pairwise(grown.where(F.col("n") <= SMALL_GROUP), "key"))
+        rows = grown.where(F.col("n") > SMALL_GROUP).select("class", "at", "before", "slice", "window")
         if rows.isEmpty():
             break
     return parts, None
@@ -217,11 +234,11 @@ def matches(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """
     units = rows.select("class", "file_id", "content").mapInArrow(_anchor_rows, "digest long, class string, file_id long, at int")
     units = materialised(units, "units")
-    shared = units.groupBy("digest").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"), F.min("class").alias("first"), F.max("class").alias("last"))
-    shared = shared.where("low <> high AND first <> last").select("digest")
-    kept = materialised(units.join(shared, "digest", "left_semi").select("digest", "class", "at").distinct(), "shared-units")
-    sizes = kept.groupBy("digest").agg(F.count("*").alias("n"))
-    placed = kept.join(sizes, "digest").groupBy("class").agg(F.collect_list(F.struct("digest", "at", "n")).alias("units"))
+    shared = units.groupBy("digest").agg(F.count("*").alias("n"), F.min("file_id").alias("low"), F.max("file_id").alias("high"), F.min("class").alias("first"), F.max("class").alias("last"))
+    shared = materialised(shared.where("low <> high AND first <> last").select("digest", "n"), "shared-digests")
+    kept = materialised(attach(units, shared, "digest", units.count()).select("digest", "class", "at").distinct(), "shared-units")
+    sizes = materialised(kept.groupBy("digest").agg(F.count("*").alias("n")), "digest-sizes")
+    placed = attach(kept, sizes, "digest", kept.count()).groupBy("class").agg(F.collect_list(F.struct("digest", "at", "n")).alias("units"))
     texts = rows.select("class", "content").join(placed.select("class"), "class", "left_semi").dropDuplicates(["class"])
     cut = texts.join(placed, "class").select("class", "content", F.explode("units").alias("u"))
     before = F.least(F.col("u.at"), F.lit(AROUND))
@@ -296,23 +313,46 @@ def _held_spans(chunks: DataFrame) -> DataFrame:
     return placed.select("chunk_id", "file_id", "class", "start", "stop", F.coalesce(*other).alias("origin"))
 
 
-def shared_pairs(chunks: DataFrame) -> DataFrame:
-    """(chunk_a, chunk_b), chunk_a < chunk_b: chunks of different files with a span of at least SPAN characters in common.
+def class_members(chunks: DataFrame) -> DataFrame:
+    """(class, chunk_id, file_id): the classes of equal texts that can share a span; a row of each chunk in each of its files."""
+    return _classes(chunks).select("class", "chunk_id", "file_id").distinct()
 
-    Null contents, keys or files and shorter texts have no partners; repeated rows count once; a key may lie in several files.
-    """
-    rows = _classes(chunks)
-    members = rows.select("class", "chunk_id", "file_id").distinct()
-    found, whole = matches(rows)
+
+def class_links(chunks: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes of different texts with a span of at least SPAN characters in common, in whatever files."""
+    found, whole = matches(_classes(chunks))
     pairs = found.select("a", "b")
     if whole is not None:
         left, right = (whole.select("key", "text", F.col("class").alias(c)).distinct() for c in ("a", "b"))
         pairs = pairs.unionByName(left.join(right, ["key", "text"]).where("a < b").select("a", "b"))
-    pairs = pairs.distinct()
-    copies = members.groupBy("class").agg(F.count("*").alias("n"), F.min("file_id").alias("low"), F.max("file_id").alias("high")).where("n > 1 AND low <> high").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    pairs = pairs.unionByName(copies)
+    return pairs.distinct()
+
+
+def linked_chunks(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, file_id, class, copies, links): one row for each chunk in each of its files.
+
+    ``copies`` counts the other members of its class, ``links`` the classes of other texts that share a span with it.  Null contents, keys
+    or files and texts shorter than SPAN are in no class and have no row.
+    """
+    members = class_members(chunks)
+    pairs = materialised(class_links(chunks), "links")
+    links = pairs.selectExpr("a AS class").unionByName(pairs.selectExpr("b AS class")).groupBy("class").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("class").agg((F.count("*") - 1).alias("copies"))
+    known = sizes.join(links, "class", "left")
+    return members.join(known, "class").select("chunk_id", "file_id", "class", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def shared_pairs(chunks: DataFrame) -> DataFrame:
+    """(chunk_a, chunk_b), chunk_a < chunk_b: chunks of different files with a span of at least SPAN characters in common.
+
+    ``class_links`` written out for all members.  Null contents, keys or files and shorter texts have no partners; repeated rows count
+    once; a key may lie in several files.
+    """
+    members = class_members(chunks)
+    copies = members.groupBy("class").agg(F.count("*").alias("n"), F.min("file_id").alias("low"), F.max("file_id").alias("high")).where("n > 1 AND low <> high")
+    pairs = class_links(chunks).unionByName(copies.select(F.col("class").alias("a"), F.col("class").alias("b")))
     left, right = (members.select(F.col("class").alias(c), F.col("chunk_id").alias(f"chunk_{c}"), F.col("file_id").alias(f"file_{c}")) for c in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").where("file_a <> file_b AND chunk_a <> chunk_b")
+    both = pairs.join(left, "a").join(right, "b").where("file_a <> file_b AND chunk_a <> chunk_b AND (a <> b OR chunk_a < chunk_b)")
     return both.select(F.least("chunk_a", "chunk_b").alias("chunk_a"), F.greatest("chunk_a", "chunk_b").alias("chunk_b")).distinct()
 
 

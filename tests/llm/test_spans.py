@@ -105,3 +105,33 @@ def test_later_occurrences_are_removed(spark):
     assert got[3] == got[7] == (block, []) and got[10] == (None, [])
     assert got[8] == ("", [(0, 400, 3)]) and got[9] == ("<>", [(1, 401, 3)])
     assert {r["chunk_id"]: r["origin"] for r in spans.shared_shares(df).collect()} == {3: 8, 7: 8, 8: 3, 9: 3, 10: None}
+
+
+def test_links_and_hot_digests(spark, monkeypatch):
+    """Links are between classes and linear in the copies of a text; with every digest hot, or none, the pairs are the same."""
+    from codequarry.llm import hot
+
+    rows = corpus(6)
+    text = "\n".join(f"The licence says in line {k} what may be done with it." for k in range(12))
+    rows += [(100 + i, i, text, "z") for i in range(30)] + [(200, 99, text + " And more.", "z"), (201, 98, text.upper(), "z"), (202, None, text, "z"), (203, 1, None, "z")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows)
+    for share in (1, 10_000, 10**9):
+        monkeypatch.setattr(hot, "HOT_SHARE", share)
+        assert {tuple(r) for r in spans.shared_pairs(df).collect()} == want
+    got = {(r["chunk_id"], r["file_id"]): (r["copies"], r["links"]) for r in spans.linked_chunks(df).collect()}
+    assert all(got[100 + i, i] == (29, 1) for i in range(30)) and got[200, 99] == (0, 1) and got[201, 98] == (0, 0)
+    assert not {202, 203} & {k for k, _ in got} and spans.linked_chunks(df.limit(0)).count() == 0
+
+
+def test_normalised_units():
+    points = spans.code_points("Ab\tÉz")
+    assert spans.normalised(points).tolist() == spans.code_points("ab Éz").tolist()
+
+
+def test_runs_of_either_case(spark):
+    """Runs of one letter in changing case are no runs of one character."""
+    rng = random.Random(4)
+    letters = "".join(rng.choice("aA") for _ in range(900))
+    rows = [(1, 1, "x" + letters, "z"), (2, 2, "yy" + letters[300:], "z"), (3, 3, letters.lower(), "z"), (4, 4, letters[:299], "z"), (5, 5, "a" * 700, "z")]
+    assert {tuple(r) for r in spans.shared_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
