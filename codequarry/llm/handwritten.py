@@ -1,10 +1,12 @@
 """Generated, minified or vendored source files, told apart from hand-written ones.
 
-A random forest over features of a file's text: compression ratio, token entropy, identifier lengths, comment density, line
-lengths, literal share, and the share of its blocks that also stand in other projects.  Its labels come from header notices
-(generated-by lines, third-party banners, the project's own terms) and from tables that are one literal; the notices are cut off
-before any feature is taken, so the forest cannot see what it was labelled by, and has to carry the label over to files without a
-notice.  After the forest, a decisive notice or a file name reserved for generated code settles its own file.
+A random forest over features of a file's text and path: compression ratio, token entropy, identifier lengths, comment density, line
+lengths, the share of its blocks that also stand in other projects, and whether folder or name are of a kind where foreign or generated code
+lies.  Its labels come from header notices (generated-by lines, third-party banners, the project's own terms), which are cut off before any
+feature is taken, and from tables that are one literal, told by a measure that is no feature; so the forest cannot see what it was
+labelled by, and has to carry the label over to files without it.
+
+A notice stands for its own file, and so does a file name reserved for generated code; all other files are judged by the forest alone.  ``held_out`` measures the forest alone, on the labelled files of projects it was not fitted on.
 
 The forest is fitted on at most ``SAMPLE`` labelled rows of each class, chosen by a hash of their key; everything else covers all
 rows.
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from codequarry.llm.batches import slices
 from codequarry.llm.forest import Forest
+from codequarry.llm.hot import attach
 from codequarry.plans.workspace import materialised
 
 #: Most labelled rows of each class that the forest is fitted on.
 SAMPLE = 6000
-THRESHOLD = 0.7
+THRESHOLD = 0.6
 #: Shorter blocks are too common to tell where a file comes from.
 BLOCK_CHARS = 80
 #: Of a literal table, letters outside literals are at most this share of all characters.
@@ -40,17 +43,20 @@ LITERAL_REST = 0.08
 _GENERATED = re.compile(
     r"@generated\b|\bcode generated by\b|\b(?:automatically|auto)[ -]?generated\b(?! (?:method|function|constructor|stub))"
     r"|\bgenerated (?:automatically )?(?:by|from|with|using) \S|\bdo not (?:edit|modify)\b|\bmachine[ -]generated\b|<auto-generated"
-    r"|\bproduced by (?:the )?\S+ (?:compiler|generator|tool)\b|\boutput of \S+, run\b|\bedit the \S+ instead\b"
+    r"|\bproduced by (?:the )?\S+ (?:compiler|generator|tool)\b"
     r"|\b(?:changes|edits?) (?:will be|is|are|get) (?:lost|overwritten|discarded)\b"
     r"|\berzeugt von\b|\bnicht (?:von Hand )?(?:bearbeiten|ändern)\b|\bgénéré\w* (?:par|automatiquement)\b|\bne pas modifier\b"
     r"|\bgenerad[oa] (?:por|automáticamente)\b|\bno (?:editar|modificar)\b",
     re.I,
 )
 _THIRD_PARTY = re.compile(r"\b(?:copied|imported|vendored|taken) from upstream\b|\bv?\d+\.\d+(?:\.\d+)?\b[^\n]*\b(?:terms|licen[cs]ed?|copyright|authors)\b|^\s*/\*!|@license\b|@preserve\b|\bcopyright (?:\(c\)|©|\d{4})", re.I | re.M)
-_OWN_TERMS = re.compile(r"\bpart of the (?P<name>[\w.-]+) project\b|\bterms: see NOTICE\b", re.I)
+_OWN_TERMS = re.compile(r"\bpart of the (?P<name>[\w.-]+) project\b", re.I)
 #: File names and folders reserved for generated code by convention.
 GENERATED_PATH = r"(?i)(\.(generated|gen|g|pb|pb\.gw|designer)\.\w+$|_pb2(_grpc)?\.pyi?$|(^|[./_-])min(\.[0-9a-f]{4,})?\.(js|css)$|\.bundle\.js$|(^|/)(generated|gen|__generated__)/)"
 
+#: Folders where third-party or generated code lies by convention.
+FOREIGN_FOLDER = r"(?i)(^|/)(vendor|vendored|third[_-]?party|external|deps|node_modules|dist|build|out|generated|gen|__generated__)/"
+
 _HEADER = re.compile(r"\A(?:﻿)?(?:[ \t\r]*\n|#![^\n]*\n|[ \t]*(?://|#(?!\[|!\[))[^\n]*(?:\n|\Z)|[ \t]*/\*.*?\*/[ \t\r]*\n?|\s*(?:\"\"\".*?\"\"\"|'''.*?''')[ \t\r]*\n)+", re.S)
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b\d[\w.]*|[\s\[\](){},:;=+-]")
@@ -58,7 +64,7 @@ _COMMENT = re.compile(r"^[ \t]*(?://|#(?!\[)|/\*|\*)", re.M)
 
 FEATURES = [
     "compression", "entropy", "name_length", "names_distinct", "names_short", "comments", "line_mean", "line_max", "digits",
-    "marks", "blanks", "size", "literal_rest", "lines_distinct", "shared",
+    "marks", "blanks", "size", "lines_distinct", "shared", "reserved", "folder",
 ]
 _OUT = "file_id long, notice string, own string, literal boolean, blocks array<struct<hash:long,size:int>>, f array<double>"
 
@@ -77,7 +83,7 @@ def notice_of(header: str) -> tuple[str | None, str | None]:
 
 
 def text_features(body: str) -> list[float]:
-    """All features but the last one, of a text without its header."""
+    """All features but the last three, of a text without its header."""
     size = len(body) or 1
     tokens = _TOKEN.findall(body)
     counts = Counter(tokens)
@@ -89,14 +95,18 @@ def text_features(body: str) -> list[float]:
     count = len(lines) or 1
     digits = sum(map(body.count, "0123456789"))
     blanks = body.count(" ") + body.count("\n") + body.count("\t") + body.count("\r")
-    rest = len(_LITERAL.sub("", body))
     return [
         len(zlib.compress(body.encode("utf-8", "replace"), 1)) / size, entropy, sum(len(t) * n for t, n in names) / uses, len(names) / uses,
         sum(n for t, n in names if len(t) < 3) / uses, len(_COMMENT.findall(body)) / count, len(body) / count, math.log1p(max(map(len, lines), default=0)),
-        digits / size, 1 - (sum(len(t) * n for t, n in names) + digits + blanks) / size, blanks / size, math.log1p(len(body)), rest / size, len(set(lines)) / count,
+        digits / size, 1 - (sum(len(t) * n for t, n in names) + digits + blanks) / size, blanks / size, math.log1p(len(body)), len(set(lines)) / count,
     ]
 
 
+def is_literal(body: str) -> bool:
+    """Whether a text is one table of literals: hardly a letter stands outside them."""
+    return len(body) > 400 and len(_LITERAL.sub("", body)) <= LITERAL_REST * len(body)
+
+
 def block_hashes(body: str) -> list[tuple[int, int]]:
     """(hash, size) of the blocks between blank lines."""
     out = []
@@ -115,8 +125,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             header = header_of(text)
             body = text[len(header) :]
-            features = text_features(body)
-            literal = len(body) > 400 and features[12] <= LITERAL_REST
+            features, literal = text_features(body), is_literal(body)
             blocks = [{"hash": h, "size": n} for h, n in block_hashes(body)]
             for column, value in zip(out, (key, *notice_of(header), literal, blocks, features), strict=True):
                 column.append(value)
@@ -124,27 +133,29 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def described(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """(file_id, path, label, decisive, x): features and labels of every row of files.
+    """(file_id, path, repo, witness, label, settled, x): features and labels of every row of files.
 
-    ``label`` is 1 (machine-made or foreign), 0 (the project's own) or null; ``decisive`` tells that the label or the path
-    settles the file.  A file without a row in sources or with a null text counts as empty.  Markdown has no label and no features.
+    ``label`` is 1 (machine-made or foreign), 0 (the project's own) or null, by the ``witness`` 'notice', 'literal' or 'own'; ``settled`` is
+    what notice or path say by themselves, 1 or 0, null if they say nothing.  A file without a row in sources or with a null text counts as empty.  Markdown has no label and no features.
     """
     rows = files.where("file_id IS NOT NULL AND lang <> 'markdown'").select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("path", F.lit("")).alias("path")).dropDuplicates(["file_id"])
     rows = rows.withColumn("repo", F.split("path", "/")[0])
     seen = materialised(sources.where("file_id IS NOT NULL").select(F.col("file_id").cast("long").alias("file_id"), "content").mapInArrow(_features, _OUT).dropDuplicates(["file_id"]), "features")
     known = rows.join(seen, "file_id", "left")
     blocks = known.select("file_id", "repo", F.explode("blocks").alias("b")).select("file_id", "repo", "b.hash", "b.size")
-    foreign = blocks.groupBy("hash").agg(F.min("repo").alias("low"), F.max("repo").alias("high")).where("low <> high").select("hash")
-    shared = blocks.join(foreign, "hash", "left_semi").groupBy("file_id").agg(F.sum("size").alias("shared"))
+    foreign = blocks.groupBy("hash").agg(F.count("*").alias("n"), F.min("repo").alias("low"), F.max("repo").alias("high")).where("low <> high").select("hash", "n")
+    total = known.agg(F.sum(F.size(F.coalesce("blocks", F.expr("array()"))))).first()[0] or 0
+    shared = attach(blocks, materialised(foreign, "foreign-blocks"), "hash", total).groupBy("file_id").agg(F.sum("size").alias("shared"))
     size = F.aggregate(F.coalesce("blocks", F.expr("array()")), F.lit(0), lambda a, b: a + b["size"])
     known = known.join(shared, "file_id", "left").withColumn("share", F.when(size > 0, F.coalesce("shared", F.lit(0)) / size).otherwise(0.0))
     reserved = F.col("path").rlike(GENERATED_PATH)
-    own = F.col("own").isNotNull() & ((F.col("own") == "") | (F.col("own") == F.col("repo")))
-    foreign_notice = (F.col("notice") == "generated") | ((F.col("notice") == "third-party") & ~F.coalesce(own, F.lit(False)))
-    machine = F.coalesce(foreign_notice, F.lit(False))
-    label = F.when(machine | F.coalesce("literal", F.lit(False)), 1).when(F.coalesce(own, F.lit(False)) & ~reserved, 0)
-    x = F.concat(F.coalesce("f", F.array_repeat(F.lit(0.0), len(FEATURES) - 1)), F.array(F.col("share")))
-    return known.select("file_id", "path", label.alias("label"), (machine | reserved).alias("decisive"), x.alias("x"))
+    own = F.coalesce(F.col("own").isNotNull() & ((F.col("own") == "") | (F.col("own") == F.col("repo"))), F.lit(False))
+    machine = F.coalesce((F.col("notice") == "generated") | ((F.col("notice") == "third-party") & ~own), F.lit(False))
+    witness = F.when(machine, "notice").when(F.coalesce("literal", F.lit(False)), "literal").when(own & ~reserved, "own")
+    path = [F.when(F.col("path").rlike(p), 1.0).otherwise(0.0) for p in (GENERATED_PATH, FOREIGN_FOLDER)]
+    x = F.concat(F.coalesce("f", F.array_repeat(F.lit(0.0), len(FEATURES) - 3)), F.array(F.col("share"), *path))
+    label = F.when(witness.isin("notice", "literal"), 1).when(witness == "own", 0)
+    return known.select("file_id", "path", "repo", witness.alias("witness"), label.alias("label"), F.when(machine | reserved, 1).when(witness == "own", 0).alias("settled"), x.alias("x"))
 
 
 def fit(table: DataFrame, sample: int = SAMPLE) -> Forest | None:
@@ -162,15 +173,40 @@ def scored(files: DataFrame, sources: DataFrame, sample: int = SAMPLE) -> DataFr
     table = materialised(described(files, sources), "described")
     forest = fit(table, sample)
 
-    def predict(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = table.mapInPandas(_predict(forest), "file_id long, path string, settled int, score double")
+    by_hand = F.when(F.col("settled").isNotNull(), F.col("settled") == 0).otherwise(F.col("score") < THRESHOLD)
+    return out.select("file_id", "path", F.round("score", 6).alias("score"), F.col("settled").isNotNull().alias("decisive"), by_hand.alias("written_by_hand"))
+
+
+def _predict(forest: Forest | None, *more: str):
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             x = np.array(part["x"].tolist(), np.float64).reshape(len(part), len(FEATURES))
             score = forest.predict(x) if forest and len(part) else np.where(part["label"].fillna(0) == 1, 1.0, 0.0)
             score = np.where(x[:, FEATURES.index("size")] == 0, 0.0, score)  # there is nothing to judge in an empty file
-            yield part[["file_id", "path", "decisive"]].assign(score=score)
+            yield part[["file_id", "path", "settled", *more]].assign(score=score)
 
-    out = table.mapInPandas(predict, "file_id long, path string, decisive boolean, score double")
-    return out.select("file_id", "path", F.round("score", 6).alias("score"), "decisive", (~F.col("decisive") & (F.col("score") < THRESHOLD)).alias("written_by_hand"))
+    return run
+
+
+def held_out(files: DataFrame, sources: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(witness, files, flagged, share): what the forest alone says of labelled files of projects that it was not fitted on.
+
+    Projects are halved by a hash of their name; each half is judged by a forest fitted on the other.  'notice' and 'literal' should be
+    flagged, 'own' should not.  A half without a label of each kind is judged by nothing and left out.
+    """
+    table = materialised(described(files, sources), "described")
+    half = F.pmod(F.xxhash64("repo"), F.lit(2))
+    out = None
+    for k in (0, 1):
+        forest = fit(table.where(half != k), sample)
+        if forest:
+            rows = table.where((half == k) & F.col("witness").isNotNull()).mapInPandas(_predict(forest, "witness"), "file_id long, path string, settled int, witness string, score double")
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return files.sparkSession.createDataFrame([], "witness string, files long, flagged long, share double")
+    grouped = out.groupBy("witness").agg(F.count("*").alias("files"), F.count_if(F.col("score") >= THRESHOLD).alias("flagged"))
+    return grouped.select("witness", "files", "flagged", F.round(F.col("flagged") / F.col("files"), 6).alias("share"))
 
 
 def not_handwritten(files: DataFrame, sources: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def test_notice_is_hidden_from_features():
     text = "// Code generated by x; DO NOT EDIT.\n\n" + body
     assert text[len(h.header_of(text)) :] == body
     assert h.header_of("#[test]\nfn f() {}") == "" and h.header_of('"""Doc."""\nx = 1\n') == '"""Doc."""\n'
-    assert len(h.text_features("")) == len(h.text_features(body)) == len(h.FEATURES) - 1
+    assert len(h.text_features("")) == len(h.text_features(body)) == len(h.FEATURES) - 3
 
 
 def test_files(spark):
@@ -56,6 +56,8 @@ def test_files(spark):
     assert len(got) == len(files) - 1
     assert [i for i in own + plain + [empty] if not got[i]] == []
     assert not any(got[i] for i in vendored + table + noticed)
+    report = {r["witness"]: (r["files"], r["flagged"]) for r in h.held_out(spark.createDataFrame(files, "file_id long, path string, lang string, size_bytes long, score string"), spark.createDataFrame(sources, "file_id long, content string, score string")).collect()}
+    assert report["own"] == (40, 0)
 
 
 def test_no_labels(spark):
@@ -63,3 +65,4 @@ def test_no_labels(spark):
     sources = spark.createDataFrame([(1, "fn a() {}")], "file_id long, content string")
     assert h.not_handwritten(files, sources).count() == 0
     assert h.not_handwritten(files.limit(0), sources.limit(0)).count() == 0
+    assert h.held_out(files, sources).count() == 0
