@@ -1,9 +1,10 @@
 """Text cut off by field limits or mid-transfer.
 
 Each text runs through a stack automaton over its structure: fences, inline code, brackets, quotes, string and comment states
-of code, broken multibyte sequences and escapes, marks of omission.  What the automaton leaves open at the end of the text is
-held against baselines computed over *all* documents:
+of code, broken multibyte sequences and escapes, marks of omission.  What the automaton finds open at the end of the text is the first
+reason; what it finds closed, but without a terminator, is held against baselines computed over *all* documents:
 
+* per source and kind: how many of its texts end with a terminator; where few do, a missing one says nothing by itself;
 * per source: the length at which its texts pile up (in characters or bytes), and how the length it claims relates to the
   length that arrived;
 * per word: how often it ends a line, and how often the word after it does, to tell a line that may end there from one that
@@ -33,6 +34,9 @@ KNOWN_WORD, FINAL_SHARE, COMMON_WORD = 5, 0.004, 50
 #: The word after a given one ends the line in at least this share of cases if the line may end there.
 FOLLOW_SHARE = 0.03
 
+#: Texts of a source and kind use terminators if at least this share of them (of TERMINATED_ROWS or more, else of the kind) ends with one.
+TERMINATED_SHARE, TERMINATED_ROWS = 0.2, 20
+
 _MARKS = re.compile(r"\s*(?:\(\s*(?:truncated|continued|cut|more|shortened|abridged)\s*\)|\[\s*(?:\.\.\.|…|truncated|cut|snip|more)\s*\]|<\s*(?:truncated|snip)\s*>)\s*$", re.I)
 _DOTS = re.compile(r"\s*(?:…|\.\.\.)\s*$")
 _BROKEN = re.compile(r"(?:\ufffd|[\ud800-\udfff]|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?[A-Za-z0-9]{1,6}|%[0-9A-Fa-f]?)\Z")
@@ -51,6 +55,10 @@ _CODE_TOKEN = re.compile(
 _PROSE_END = re.compile(r"(?:^|\n)[A-Z][^\n\"'{};]*[a-z`]{2,}[.!?] [A-Z][^\n\"{};]*[.!?]\s*\Z")
 _OPEN = {")": "(", "]": "[", "}": "{"}
 _PY_HEAD = re.compile(r"^\s*(?:(?:async\s+)?def\s+\w+\s*\(|class\s+\w+[^{;]*:\s*$|from\s+[\w.]+\s+import\s|import\s+[\w.]+\s*$)", re.M)
+_BRACE_LINE = re.compile(r"[{;][ \t\r]*$", re.M)
+_FULL_LINE = re.compile(r"^.*\S.*$", re.M)
+#: A call for attention before a line that otherwise starts small ("Note: ", "FYI, ").
+_CALL = re.compile(r"^[A-Z][\w-]{0,9}[:,][ \t]+(?=[a-z])")
 _PY_STATEMENT = re.compile(r"^(return|raise|pass|break|continue|yield|if|for|while|with|try|except|else|elif|finally|def|class|import|from|assert|del|global|async|@)\b")
 
 
@@ -78,7 +86,8 @@ def code_state(text: str) -> str:
 
 
 def is_python(text: str) -> bool:
-    return bool(_PY_HEAD.search(text)) and not re.search(r"[{;]\s*$", text[:2000], re.M)
+    """Whether program text has a Python head, and hardly a line that ends like one of a brace language."""
+    return bool(_PY_HEAD.search(text)) and len(_BRACE_LINE.findall(text)) * 10 <= len(_FULL_LINE.findall(text))
 
 
 def looks_like_code(text: str) -> bool:
@@ -107,8 +116,8 @@ def _code_end(text: str, kind: str | None) -> tuple[str, str, str]:
 def examine(text: str | None, kind: str | None = None) -> tuple[str, str, str]:
     """(state, word, before) at the end of a text.
 
-    States: '' (null or blank), 'broken', 'marked' (an explicit mark of omission), 'structure' (something open), 'sentence' (a
-    sentence without terminator), 'space' (stops after a blank), 'dots' (ends in an ellipsis), 'title' (a heading without a text), 'word' (no terminator is due:
+    States: '' (null or blank), 'broken', 'marked' (an explicit mark of omission), 'structure' (something open, or a sign that something has
+    to follow), 'sentence' (a sentence without terminator), 'space' (stops after a blank), 'dots' (ends in an ellipsis), 'title' (a heading without a text), 'word' (no terminator is due:
     decide by the last word and the one before), 'line' (code: decide by the kind of the last line), 'ended'.
     """
     if text is None or not text.strip():
@@ -150,7 +159,7 @@ def examine(text: str | None, kind: str | None = None) -> tuple[str, str, str]:
         return "ended", "", ""
     if space and not space.strip(" \t") and not text.endswith("\n"):
         return "space", "", ""
-    bare = _LOG.sub("", _ITEM.sub("", tail)) if not stop else tail
+    bare = _CALL.sub("", _LOG.sub("", _ITEM.sub("", tail))) if not stop else tail
     log = not stop and bool(_LOG.match(_ITEM.sub("", tail)))
     words = _WORD.findall(bare)
     if not words:
@@ -160,10 +169,10 @@ def examine(text: str | None, kind: str | None = None) -> tuple[str, str, str]:
     heading = bare.lstrip().startswith("#")
     title = kind == "title" or heading
     if stripped[-1] in ",-–—/&+=<|(" or (stripped[-1] in ":;" and not title):
-        return "sentence", "", ""
+        return "structure", "", ""
     caps = sum(w[:1].isupper() for w in words)
     if log or (not title and len(words) >= 3 and bare.lstrip()[:1].isupper() and caps * 2 < len(words) + 1):
-        return "sentence", "", ""
+        return "sentence", words[-1], words[-2] if len(words) > 1 else "^"
     if heading and "\n" in stripped:
         return "structure", "", ""
     if title or (caps == len(words) > 2):
@@ -171,16 +180,6 @@ def examine(text: str | None, kind: str | None = None) -> tuple[str, str, str]:
     return "word", words[-1], words[-2] if len(words) > 1 else ("^" if not stop else ".")
 
 
-def line_words(text: str) -> Iterator[tuple[str, bool]]:
-    """(word, whether it ends its line) over a text's lines."""
-    for line in text.split("\n"):
-        found = _WORD.findall(line)
-        if found:
-            ends = line.rstrip().endswith(found[-1])
-            yield from ((w, False) for w in found[:-1])
-            yield found[-1], ends
-
-
 def _baseline_words(text: str, counts: Counter, finals: Counter, follows: Counter, follow_finals: Counter) -> None:
     for line in text.split("\n"):
         found = _WORD.findall(line)
@@ -240,9 +239,9 @@ def _states(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a broken last character was cut from longer bytes than the sign that stands for it shows
         sizes = [None if t is None else len(t) if t.isascii() else len(t.rstrip("\ufffd").encode("utf-8", "replace")) for t in texts]
         lengths = [None if t is None else len(t) for t in texts]
-        arrays = [batch.column(0), batch.column(1), batch.column(4)]
+        arrays = [batch.column(0), batch.column(1), batch.column(3), batch.column(4)]
         arrays += [pa.array(x, pa.int64()) for x in (lengths, sizes, units)] + [pa.array(list(x), pa.string()) for x in zip(*found, strict=True)] if texts else [pa.array([], pa.int64())] * 3 + [pa.array([], pa.string())] * 3
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "source", "n_chars", "chars", "bytes", "units", "state", "word", "before"])
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "source", "kind", "n_chars", "chars", "bytes", "units", "state", "word", "before"])
 
 
 def source_baselines(states: DataFrame) -> DataFrame:
@@ -272,6 +271,18 @@ def source_baselines(states: DataFrame) -> DataFrame:
     return limits.join(rules, "source", "left").select("source", "limit_chars", "limit_bytes", "rules")
 
 
+def terminator_baselines(states: DataFrame) -> DataFrame:
+    """(source, kind, terminated): the share of texts that end with a terminator, among those whose end could have one; kind '' for null.
+
+    A source with few texts of a kind has the share of the kind.
+    """
+    ends = states.where("state IN ('ended', 'sentence', 'word')").groupBy("source", "kind").agg(F.count_if(F.col("state") == "ended").alias("good"), F.count("*").alias("n"))
+    ends = ends.select("source", F.coalesce("kind", F.lit("")).alias("kind"), "good", "n")
+    kinds = ends.groupBy("kind").agg(F.sum("good").alias("all_good"), F.sum("n").alias("all"))
+    share = F.when(F.col("n") >= TERMINATED_ROWS, F.col("good") / F.col("n")).otherwise(F.col("all_good") / F.col("all"))
+    return ends.join(kinds, "kind").select("source", "kind", share.alias("terminated"))
+
+
 def truncated(docs: DataFrame) -> DataFrame:
     """(doc_id, source, reason): the documents cut off before their end; one row per ``doc_id``.
 
@@ -279,16 +290,21 @@ def truncated(docs: DataFrame) -> DataFrame:
     """
     kind = F.col("kind") if "kind" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text", kind.alias("kind"), F.col("n_chars").cast("long").alias("n_chars"))
-    schema = "doc_id long, source string, n_chars long, chars long, bytes long, units long, state string, word string, before string"
-    states = materialised(rows.mapInArrow(_states, schema).dropDuplicates(["doc_id"]), "states")
+    schema = "doc_id long, source string, kind string, n_chars long, chars long, bytes long, units long, state string, word string, before string"
+    states = materialised(rows.mapInArrow(_states, schema).dropDuplicates(["doc_id"]), "states").where("state <> ''")
+    # words are counted per worker and summed before anything is joined; only the words that stand at an end go on
+    by_word = F.col("state").isin("word", "line", "sentence")
+    needed = states.where(by_word).select("word").union(states.where("state IN ('word', 'sentence')").select("before")).distinct()
     words = rows.select("text", "kind").mapInArrow(_words, "word string, n long, final long, followed long, follow_final long")
-    needed = states.where("state IN ('word', 'line')").select("word").union(states.where("state = 'word'").select("before")).distinct()
-    stats = words.join(needed, "word", "left_semi").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "final", "followed", "follow_final")))
+    stats = words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "final", "followed", "follow_final"))).join(needed, "word", "left_semi")
     stats = materialised(stats, "words")
-    last = stats.select("word", "n", "final")
-    previous = stats.select(F.col("word").alias("before"), "followed", "follow_final")
-    base = source_baselines(states)
-    all_rows = states.where("state <> ''").join(F.broadcast(base) if base.count() <= 10_000 else base, "source", "left").join(last, "word", "left").join(previous, "before", "left")
+    # rows whose end asks for no word are not joined with any
+    known = states.where(by_word).join(stats.select("word", "n", "final"), "word", "left")
+    known = known.join(stats.select(F.col("word").alias("before"), "followed", "follow_final"), "before", "left")
+    missing = [F.lit(None).cast("long").alias(c) for c in ("n", "final", "followed", "follow_final")]
+    all_rows = known.unionByName(states.where(~by_word).select("*", *missing)).withColumn("_kind", F.coalesce("kind", F.lit("")))
+    habits = terminator_baselines(states).withColumnRenamed("kind", "_kind")
+    all_rows = all_rows.join(source_baselines(states), "source", "left").join(habits, ["source", "_kind"], "left")
     measured = {"chars": F.col("chars"), "bytes": F.col("bytes"), "units": F.col("units")}
 
     def obeyed(rule):
@@ -306,9 +322,12 @@ def truncated(docs: DataFrame) -> DataFrame:
     ends_lines = (n >= KNOWN_WORD) & (final > 1) & (final - 1 >= FINAL_SHARE * n)
     never_ends = (n >= COMMON_WORD) & (final - 1 < FINAL_SHARE * n)
     may_end = F.when(number, may_follow).when(ends_lines, True).when(never_ends, False).otherwise(may_follow)
-    stops = F.when(state == "word", ~may_end).when(state == "line", ~((final > 0) & (final >= FINAL_SHARE * n)))
+    open_sentence = (state == "sentence") & (F.coalesce("terminated", F.lit(1.0)) >= TERMINATED_SHARE)
+    stops = F.when(state.isin("word", "sentence"), ~may_end).when(state == "line", ~((final > 0) & (final >= FINAL_SHARE * n)))
     reason = (
-        F.when(state.isin("broken", "marked", "structure", "sentence", "space"), state)
+        F.when(state.isin("structure", "broken", "space"), state)
+        .when(open_sentence, F.lit("sentence"))
+        .when(state == "marked", state)
         .when(F.coalesce(claims_more, F.lit(False)), F.lit("claim"))
         .when(at_limit & (state != "ended"), F.lit("limit"))
         .when(F.coalesce(stops, F.lit(False)), F.lit("phrase"))

@@ -11,6 +11,7 @@ DOCS = "doc_id long, text string, source string, n_chars long, kind string, stat
         (None, None, ""), ("  \n", None, ""), ("All is well.", "issue", "ended"), ("All is well. LGTM", "review", "word"), ("The end is not the", "issue", "sentence"), ("A `code", "issue", "structure"), ("Text.\n\n```\ncode();\n", "note", "structure"),
         ("Text.\n\n```\ncode();\n```", "note", "ended"), ("Also, ```go\nx()\n```\n\nDone.", "note", "ended"), ("Broken \ufffd", "note", "broken"), ("We saw it (truncated)", "note", "marked"), ("To be continued…", "note", "dots"), ("# A Title Of It", "title", "title"),
         ("Some words here and ", "note", "space"), ("fn f() {\n    g();\n}\n", "code", "ended"), ("fn f() {\n    g(", "code", "structure"), ("fn f() {\n    g(\"abc", "code", "structure"), ("def f(x):\n    y = 1\n    return y", "code", "line"), ("- drop support for x", "changelog", "word"),
+        ("Note: drop support for it", "commit", "word"), ("FYI, move it into its own loom", "commit", "word"), ("The parts are", "issue", "sentence"), ("The parts,", "issue", "structure"), ("x = 1\n" * 400 + "def f(x):\n    y = {\n        1: 2,\n    }\n    return y", "code", "line"),
     ],
 )
 def test_states(text, kind, state):
@@ -50,3 +51,14 @@ def test_cut_texts_do_not_witness_for_common_words(spark):
     cut = [(1000 + i, f"- drop support\n- rename piece{i} of", "wide", None, "changelog", "z") for i in range(4)]
     got = {r["doc_id"]: r["reason"] for r in t.truncated(spark.createDataFrame(rows + cut, DOCS)).collect()}
     assert got == dict.fromkeys((r[0] for r in cut), "phrase")
+
+
+def test_sources_without_terminators(spark):
+    """Where texts of a source and kind hardly ever end with a terminator, a missing one says nothing."""
+    rows = [(i, f"Rename part{i} of the list into store{i % 3}", "free", None, "commit", "z") for i in range(40)]
+    rows += [(100 + i, f"Rename part{i} of the list into store{i % 3}.", "strict", None, "commit", "z") for i in range(40)]
+    rows += [(200, "Rename part200 of the list into store1", "strict", None, "commit", "z"), (201, "Rename part201 of the list into store1", None, None, None, "z")]
+    rows += [(300 + i, "Keeps store0\nKeeps store1\nKeeps store2\n" * 3 + "Done with it all.", "free", None, "note", "z") for i in range(9)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["reason"] for r in t.truncated(df).collect()}
+    assert got.get(200) == "sentence" and not set(got) & set(range(40)) and not set(got) & set(range(100, 140))
