@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
 from codequarry import output
-from codequarry.operators import edit, graph, overview, quality
+from codequarry.operators import edit, overview, quality
 from codequarry.session import Index
 from codequarry.sources import parsers, scan
 
@@ -39,7 +40,7 @@ def _parser() -> argparse.ArgumentParser:
     add("scope", "path", "line")
     add("summarize", "path")
     add("partition", "path", "strategy")
-    add("diff")
+    add("diff", path=text, symbol=text)
     add("files", path=text, skipped_only=bool, indexed_only=bool)
     add("stats", savings=bool, since=text)
     add("quality", "log", unknown_only=bool, all=bool, summary=bool, clear=bool)
@@ -57,6 +58,7 @@ def _edit(index: Index, a: argparse.Namespace) -> dict:
     """An edit and the refresh of the index after it."""
     find = lambda name: edit.find_symbol(index.files, index.chunks, a.path, name, getattr(a, "parent", None))
     report: dict = {"ok": True}
+    before = os.path.getsize(p) if os.path.exists(p := os.path.join(a.source, a.path)) else 0
     if a.command == "replace" and a.preview:
         return vars(edit.preview_replace(a.source, a.path, find(a.symbol), a.code))
     if a.command == "replace":
@@ -67,14 +69,21 @@ def _edit(index: Index, a: argparse.Namespace) -> dict:
         edit.insert(a.source, a.path, a.code, a.position)
     else:
         report |= edit.extract(a.source, a.path, [find(s) for s in a.symbols.split(",")], a.to)
-    index.index(a.source)
+    for path in {a.path, getattr(a, "to", a.path)}:
+        if os.path.exists(os.path.join(a.source, path)):
+            report.setdefault("reindexed", []).append(index.reindex_file(a.source, path, symbol=getattr(a, "symbol", None)))
     if a.command == "replace":
-        report["run_tests"] = [r.asDict() for r in index.test_impact(a.symbol, a.path).collect()]
-        if not report["run_tests"]:
-            report["no_tests_warning"] = graph.warning(0, 0)
+        report["test_impact"] = index.analyse_tests(a.source, a.symbol, a.path)
+    sizes = [os.path.getsize(p) if os.path.exists(p := os.path.join(a.source, a.path)) else 0]
+    new = len(a.code.encode()) if a.command in ("replace", "insert") else 0
+    index.charge_edit(a.command, sizes[0], max(0, before + new - sizes[0]), new, len(output.to_json(report).encode()))
     return report
 
 
+#: Commands whose costs go to the ledger.
+_CHARGED = ("search", "read", "overview", "refs", "context", "deps", "scope", "summarize", "partition", "files", "tests")
+
+
 def _query(index: Index, a: argparse.Namespace) -> DataFrame:
     if a.command == "index":
         return index.index(a.source)
@@ -97,9 +106,9 @@ def _query(index: Index, a: argparse.Namespace) -> DataFrame:
     if a.command == "partition":
         return index.partition(a.source, a.path, a.strategy)
     if a.command == "diff":
-        return index.diff(a.source)
+        return index.diff(a.source, a.path, a.symbol)
     if a.command == "files":
-        rows = overview.scoped(scan.walk(index.spark, a.source)[0], a.path)
+        rows = overview.scoped(scan.tree(index.spark, a.source)[0], a.path)
         return rows.where(f"{'NOT supported' if a.skipped_only else 'true'} AND {'supported' if a.indexed_only else 'true'}")
     if a.command == "stats":
         return index.savings(a.since) if a.savings else index.stats()
@@ -123,7 +132,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         if a.command in ("replace", "delete", "insert", "extract"):
             print(output.to_json(_edit(index, a), a.format == "pretty"))
         else:
-            print(output.truncated(output.answer(_query(index, a), a.format)))
+            text = output.truncated(output.answer(_query(index, a), a.format))
+            print(text)
+            if a.command in _CHARGED:
+                index.charge(a.command, len(text.encode()), getattr(a, "path", None), getattr(a, "symbol", None))
     except (edit.EditError, LookupError, ValueError) as error:
         print(output.to_json({"error": getattr(error, "kind", type(error).__name__), "message": str(error)}), file=sys.stderr)
         return 1

@@ -23,14 +23,14 @@ def _joined(ordered: Column) -> Column:
 def partition_uniform(sources: DataFrame, size: int, key: str = "file_id", text: str = "content") -> DataFrame:
     """(key, index, start_line, end_line, content, tokens): every ``size`` lines; no text, no partitions.
 
-    Cut by slicing the array of lines within the row: no shuffle.
+    The lines are cut within the row, so nothing is shuffled and each row carries its own lines only.
     """
     if size < 1:
         raise ValueError("a partition needs at least one line")
-    parts = sources.select(F.col(key), C.lines(text).alias("lines")).where(F.size("lines") > 0)
-    each = parts.select(key, "lines", F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / size).cast("int"))).alias("index"))
-    cut = F.slice("lines", F.col("index") * size + 1, F.lit(size))
-    out = each.select(key, "index", (F.col("index") * size + 1).alias("start_line"), cut.alias("cut"))
+    lines = sources.select(F.col(key), C.lines(text).alias("lines")).where(F.size("lines") > 0)
+    count = F.floor((F.size("lines") - 1) / size).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(i.alias("index"), F.slice("lines", i * size + 1, F.lit(size)).alias("cut")))
+    out = lines.select(key, F.explode(cuts).alias("p")).select(key, "p.index", (F.col("p.index") * size + 1).alias("start_line"), "p.cut")
     content = F.array_join("cut", "\n")
     return out.select(key, "index", "start_line", (F.col("start_line") + F.size("cut") - 1).alias("end_line"), content.alias("content"), C.text_tokens(F.octet_length(content)).alias("tokens"))
 
@@ -78,10 +78,13 @@ def markdown_sections(sources: DataFrame, key: str = "file_id", text: str = "con
     line = F.transform("lines", lambda x, i: F.struct((i + 1).alias("at"), F.length(F.regexp_extract(F.trim(x), "^(#*)", 1)).alias("level"), F.trim(F.regexp_replace(F.trim(x), "^#+", "")).alias("ident")))
     heads = F.filter(line, lambda s: (s["level"] > 0) & (s["ident"] != ""))
     marked = split.select(key, "ink", F.size("lines").alias("n"), heads.alias("heads"))
-    each = marked.select(key, "n", "heads", F.posexplode("heads").alias("k", "h"))
-    end = F.coalesce(F.get("heads", F.col("k") + 1)["at"] - 1, F.col("n"))
-    above = F.filter(F.slice("heads", F.lit(1), F.col("k")), lambda s: s["level"] < F.col("h.level"))
-    out = each.select(key, F.col("h.ident").alias("ident"), F.col("h.level").alias("level"), F.col("h.at").alias("start_line"), end.alias("end_line"), F.try_element_at(above, F.lit(-1))["ident"].alias("parent"))
+    # ends and parents are found within the row, so an exploded row carries its own heading only
+    def placed(h: Column, k: Column) -> Column:
+        above = F.filter(F.slice("heads", F.lit(1), k), lambda s: s["level"] < h["level"])
+        end = F.coalesce(F.get("heads", k + 1)["at"] - 1, F.col("n"))
+        return F.struct(h["ident"].alias("ident"), h["level"].alias("level"), h["at"].alias("start_line"), end.alias("end_line"), F.try_element_at(above, F.lit(-1))["ident"].alias("parent"))
+
+    out = marked.select(key, F.explode(F.transform("heads", placed)).alias("h")).select(key, "h.*")
     whole = marked.where((F.size("heads") == 0) & (F.col("ink") > 0)).select(key, F.lit("(document)").alias("ident"), F.lit(0).alias("level"), F.lit(1).alias("start_line"), F.col("n").alias("end_line"), F.lit(None).cast("string").alias("parent"))
     return out.unionByName(whole)
 
@@ -89,8 +92,11 @@ def markdown_sections(sources: DataFrame, key: str = "file_id", text: str = "con
 def pages(texts: DataFrame, key: str, text: str, separator: str = "\f") -> DataFrame:
     """(key, ident, number, start_char, content): the non-blank pages of a text; blank ones are counted but left out."""
     parts = F.split(text, re.escape(separator))
-    each = texts.select(F.col(key), parts.alias("parts"), F.posexplode(parts).alias("k", "content"))
-    before = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda a, p: a + F.length(p) + len(separator))
+    # offsets are summed up once in the row; an exploded row carries its own page only
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = F.aggregate(parts, nothing, lambda a, p: F.struct((a["at"] + F.length(p) + len(separator)).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
+    each = texts.select(F.col(key), F.posexplode(F.arrays_zip(parts.alias("content"), step.alias("before"))).alias("k", "p")).select(key, "k", "p.content", "p.before")
+    before = F.col("before")
     out = each.select(key, F.concat(F.lit("Page "), (F.col("k") + 1).cast("string")).alias("ident"), (F.col("k") + 1).alias("number"), before.alias("start_char"), "content")
     return out.where(F.length(F.trim(F.regexp_replace("content", r"\s", ""))) > 0)
 
@@ -124,3 +130,10 @@ def diff_symbols(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     cut = F.slice("lines", F.greatest(F.col("c.start_line"), F.lit(1)), F.greatest(F.col("c.end_line") - F.col("c.start_line") + 1, F.lit(0)))
     now = C.file_hash(F.trim(F.array_join(cut, "\n")))
     return each.select("c.chunk_id", (now != F.col("c.was")).alias("changed"))
+
+
+def preview(text: str, line: int | None = None, count: int = 10) -> str:
+    """At most ``count`` lines of a text around a line (from 1), or its last ones."""
+    lines = text.splitlines()
+    start = max(0, len(lines) - count) if line is None else max(0, min(line - 1 - count // 2, len(lines) - count))
+    return "\n".join(lines[start : start + count])

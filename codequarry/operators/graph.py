@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import fnmatch
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry.functions import columns as C
+from codequarry.plans.workspace import materialised
 
 DEPTH = 3
 
 # Marker files of the test runners, in order of precedence, with the command of each.
 RUNNERS = [
-    ("Cargo.toml", "cargo test"), ("go.mod", "go test"), ("pom.xml", "mvn test"), ("build.gradle", "gradle test"), ("pyproject.toml", "pytest"),
-    ("pytest.ini", "pytest"), ("vitest.config.ts", "vitest run"), ("package.json", "jest"), ("phpunit.xml", "phpunit"), ("global.json", "dotnet test"),
+    (".config/nextest.toml", "cargo nextest run"), ("Cargo.toml", "cargo test"), ("go.mod", "go test"), ("pom.xml", "mvn test"), ("build.gradle", "gradle test"), ("build.gradle.kts", "gradle test"),
+    ("pyproject.toml", "pytest"), ("pytest.ini", "pytest"), ("setup.cfg", "pytest"), ("vitest.config.ts", "vitest run"), ("vitest.config.js", "vitest run"), ("jest.config.js", "jest"), ("jest.config.ts", "jest"),
+    ("package.json", "jest"), ("phpunit.xml", "phpunit"), ("phpunit.xml.dist", "phpunit"), ("*.sln", "dotnet test"), ("*.csproj", "dotnet test"), ("global.json", "dotnet test"),
 ]
 
 
@@ -31,13 +34,14 @@ def transitive_callers(graph: DataFrame, symbol: str, depth: int = DEPTH) -> Dat
     """(symbol, path, depth, is_test): callers of ``symbol`` within ``depth`` hops, each once at its least depth.
 
     A bounded loop of joins: the frontier meets the edges on the target, names already seen leave it, tests are not followed.  ``graph``
-    should be a written table.
+    should be a written table; the callers of each level are written too, so that no level is computed again by the next.
     """
     flagged = with_test_flag(graph)
     frontier = flagged.sparkSession.createDataFrame([(symbol,)], "name string")
     seen, found = frontier, []
     for level in range(1, depth + 1):
         hits = flagged.join(frontier, flagged.target == frontier.name, "left_semi").select(F.col("caller").alias("symbol"), "path", "is_test", F.lit(level).alias("depth")).distinct()
+        hits = materialised(hits, "callers")
         found.append(hits)
         frontier = hits.where("NOT is_test").select(F.col("symbol").alias("name")).distinct().join(seen, "name", "left_anti")
         seen = seen.union(frontier)
@@ -81,13 +85,13 @@ def tests_of_file(files: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataF
 
 def runner(paths: set[str]) -> str | None:
     """The test command of a project with these files at its root."""
-    return next((command for marker, command in RUNNERS if marker in paths), None)
+    return next((command for marker, command in RUNNERS if any(fnmatch.fnmatchcase(p, marker) for p in paths)), None)
 
 
 def command(runner_command: str, tests: list[tuple[str, str]]) -> str:
     """A command line that runs the given (symbol, path) tests."""
-    if runner_command == "cargo test":
-        return "cargo test " + " ".join(sorted({s for s, _ in tests}))
+    if runner_command.startswith("cargo "):
+        return f"{runner_command} " + " ".join(sorted({s for s, _ in tests}))
     if runner_command == "go test":
         packages = sorted({"./" + p.rpartition("/")[0] for _, p in tests})
         return "go test " + " ".join(packages) + " -run '^(" + "|".join(sorted({s for s, _ in tests})) + ")$'"

@@ -32,14 +32,15 @@ def clear_log(spark, path: str) -> bool:
 def annotate(issues: DataFrame, patterns: DataFrame) -> DataFrame:
     """Issues with ``known`` and ``test`` set by the first pattern (position, lang, needle, test) of their language in their context.
 
-    ``patterns`` is a fixed table of the library's user; it is joined by language, and of several matches the least position wins.
+    ``patterns`` is a fixed table of the library's user; the patterns of a language are one row, and of several matches the least
+    position wins.
     """
-    numbered = issues.withColumn("_id", F.monotonically_increasing_id())
-    p = patterns.select(F.col("lang").alias("_lang"), "needle", F.struct("position", "test").alias("hit"))
-    met = numbered.select("_id", "lang", "context").join(p, (F.col("lang") == F.col("_lang")) & F.contains("context", "needle"))
-    first = met.groupBy("_id").agg(F.min("hit").alias("hit"))
-    out = numbered.join(first, "_id", "left")
-    return out.withColumns({"known": F.col("hit").isNotNull() | F.coalesce("known", F.lit(False)), "test": F.coalesce("hit.test", "test")}).drop("_id", "hit")
+    hit = F.struct("position", "test", "needle")
+    by_lang = patterns.groupBy(F.col("lang").alias("_lang")).agg(F.sort_array(F.collect_list(hit)).alias("_patterns"))
+    met = issues.join(by_lang, F.col("lang") == F.col("_lang"), "left")
+    first = F.get(F.filter("_patterns", lambda p: F.coalesce(F.contains(F.col("context"), p["needle"]), F.lit(False))), F.lit(0))
+    out = met.withColumn("_hit", first)
+    return out.withColumns({"known": F.col("_hit").isNotNull() | F.coalesce("known", F.lit(False)), "test": F.coalesce("_hit.test", "test")}).select(*issues.columns)
 
 
 def unknown(issues: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def skipped() -> bool:
 
 
 def classify(disk: DataFrame, index: DataFrame, walk_had_errors: bool = False) -> DataFrame:
-    """(path, state): added, modified, touched (same text, other time), clean, failed (no hash), deleted or kept.
+    """(path, state): added, modified, touched (same text, other time), clean, failed (seen, but without a hash), deleted or kept.
 
     disk: (path, hash, mtime_nanos), index: the same columns.  Equal times that are both known settle a file without its hash; an
     indexed path that was not seen is deleted only if the walk had no errors.
@@ -26,9 +26,9 @@ def classify(disk: DataFrame, index: DataFrame, walk_had_errors: bool = False) -
     same_time = (F.col("new_time") == F.col("old_time")) & (F.col("new_time") != 0)
     state = (
         F.when(F.col("seen").isNull(), F.lit("kept" if walk_had_errors else "deleted"))
-        .when(F.col("indexed").isNull(), "added")
-        .when(same_time, "clean")
+        .when(same_time & F.col("indexed").isNotNull(), "clean")
         .when(F.col("new_hash").isNull(), "failed")
+        .when(F.col("indexed").isNull(), "added")
         .when(F.col("new_hash") != F.col("old_hash"), "modified")
         .when(~F.coalesce(F.col("new_time") == F.col("old_time"), F.lit(False)), "touched")
         .otherwise("clean")
@@ -36,6 +36,13 @@ def classify(disk: DataFrame, index: DataFrame, walk_had_errors: bool = False) -
     return both.select("path", state.alias("state"))
 
 
+def candidates(disk: DataFrame, index: DataFrame) -> DataFrame:
+    """(path): the supported files of a walk whose text has to be read: not indexed, or with another or an unknown time."""
+    old = index.select("path", F.col("mtime_nanos").alias("old_time"))
+    same = (F.col("mtime_nanos") == F.col("old_time")) & (F.col("mtime_nanos") != 0)
+    return disk.where("supported").join(old, "path", "left").where(~F.coalesce(same, F.lit(False))).select("path")
+
+
 def upsert_files(files: DataFrame, changed: DataFrame) -> DataFrame:
     """Files after writing ``changed`` (path, hash, lang, size_bytes, mtime_nanos, indexed_at); known paths keep their id.
 

@@ -89,6 +89,11 @@ def file_or_own(cost: Column, own: Column) -> Column:
     return F.when(F.coalesce(cost, F.lit(0)) == 0, own).otherwise(cost)
 
 
+def read_symbol_cost(cost: Column, own: Column) -> Column:
+    """The cost of finding and reading one symbol's file."""
+    return file_or_own(cost, own) + SEARCH_TOKENS
+
+
 def write_cost(kind: str, size: Column, old: Column, new: Column) -> tuple[Column, Column, Column]:
     """(input tokens, output tokens, calls) of replacing, deleting, inserting or extracting by plain reads and writes.
 

@@ -1,8 +1,9 @@
 """Ranked full-text search over chunks: postings with positions, BM25, top k.
 
-Postings are a table of their own (``postings``), to be written once, clustered by term and refreshed by file; a query reads only
-its terms' rows.  All units of a query are matched in one pass and combined by a bit mask per chunk, so the number of shuffles does
-not depend on the query.
+An index is two tables, written once: postings, sorted by term over ranges of (term, key) so that a frequent word is many files and a
+query reads its own words' row groups only, and the number of words of each chunk.  A query never reads a text but those of the chunks it
+shows.  All units of a query are matched in one pass and combined by a bit mask per chunk, so the number of shuffles does not depend on the
+query.  Without a written index the postings of the query's words are made from the texts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codequarry.functions import textquery
 from codequarry.functions.textquery import Unit
@@ -47,18 +48,26 @@ def _wanted(units: list[Unit]) -> Callable[[Column], Column]:
     return lambda term: reduce(Column.__or__, [term.isin(sorted(whole)), *[term.startswith(p) for p in sorted(starts)]])
 
 
-#: Folders of a written postings table; a query for whole words reads those of its words only.
-BUCKETS = 64
+class SearchIndex:
+    """(term, key, field, pos) and (key, n) of a corpus."""
 
+    def __init__(self, postings: DataFrame, lengths: DataFrame):
+        self.postings, self.lengths = postings, lengths
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
+#: Answers of up to so many rows are broadcast to the chunks they show.
+SMALL_ANSWER = 10_000
 
-def write_postings(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """The postings of all chunks, laid out by a hash of the term and sorted by term within each file."""
-    rows = postings(chunks, key).withColumn("bucket", bucket(F.col("term")))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+def write_index(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
+    """Write postings and lengths below ``path``; the number of files follows the shuffle setting of the session."""
+    rows = postings(chunks, key)
+    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
+    lengths(chunks, key).write.parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> SearchIndex:
+    return SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
 def lengths(chunks: DataFrame, key: str = "chunk_id", columns: list[str] = COLUMNS) -> DataFrame:
@@ -67,22 +76,22 @@ def lengths(chunks: DataFrame, key: str = "chunk_id", columns: list[str] = COLUM
 
 
 def _hits(index: DataFrame, units: list[Unit], key: str) -> DataFrame:
-    """(unit, key, tf) of every unit."""
-    parts = []
+    """(unit, key, tf) of every unit, in one pass over the postings.
+
+    Each posting goes to the places of units that its word fits; a unit stands where all its places are filled.  Rows are partitioned by
+    chunk, which serves all the groupings.
+    """
+    places, wanted = [], {}
     for number, unit in enumerate(units):
-        last = len(unit.words) - 1
-        conditions = [F.col("term").startswith(w) if unit.prefix and i == last else F.col("term") == w for i, w in enumerate(unit.words)]
-        rows = index.where(reduce(Column.__or__, conditions))
-        if "bucket" in index.columns and not unit.prefix:  # constants after folding, so folders are pruned
-            rows = rows.where(reduce(Column.__or__, [F.col("bucket") == bucket(F.lit(w)) for w in unit.words]))
-        if last == 0:
-            parts.append(rows.groupBy(key).agg(F.count("*").alias("tf")).select(F.lit(number).alias("unit"), key, "tf"))
-            continue
-        offsets = F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)])
-        starts = rows.select(key, "field", "pos", F.explode(offsets).alias("i")).where("i IS NOT NULL").withColumn("start", F.col("pos") - F.col("i"))
-        whole = starts.groupBy(key, "field", "start").agg(F.countDistinct("i").alias("m")).where(F.col("m") == last + 1)
-        parts.append(whole.groupBy(key).agg(F.count("*").alias("tf")).select(F.lit(number).alias("unit"), key, "tf"))
-    return reduce(DataFrame.unionByName, parts)
+        for i, word in enumerate(unit.words):
+            fits = F.col("term").startswith(word) if unit.prefix and i == len(unit.words) - 1 else F.col("term") == word
+            places.append(F.when(fits, F.struct(F.lit(number).alias("unit"), F.lit(i).alias("i"), F.lit(len(unit.words)).alias("size"))))
+            wanted[str(fits)] = fits
+    rows = index.where(reduce(Column.__or__, wanted.values())).repartition(key)
+    each = rows.select(key, "field", "pos", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"))
+    starts = each.select(key, "field", "p.unit", "p.i", "p.size", (F.col("pos") - F.col("p.i")).alias("start"))
+    whole = starts.groupBy(key, "unit", "size", "field", "start").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("m")).where("m = shiftleft(1L, size) - 1")
+    return whole.groupBy(key, "unit").agg(F.count("*").alias("tf")).select("unit", key, "tf")
 
 
 def ranked(index: DataFrame, sizes: DataFrame, query: str, key: str = "chunk_id") -> DataFrame | None:
@@ -104,7 +113,7 @@ def ranked(index: DataFrame, sizes: DataFrame, query: str, key: str = "chunk_id"
     return scored.where(reduce(Column.__or__, [F.col("mask").bitwiseAND(F.lit(m)) == m for m in masks])).select(key, "score")
 
 
-def search(chunks: DataFrame, query: str, limit: int = 20, fields: str = "full", index: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: str, limit: int = 20, fields: str = "full", index: SearchIndex | None = None) -> DataFrame:
     """(chunk_id, file_id, kind, ident, start_line, end_line, score[, content]) of the best ``limit`` chunks, best first.
 
     ``fields`` is full or minimal (without content).  A query that asks nothing finds nothing.  Equal scores rank by chunk_id.
@@ -113,18 +122,18 @@ def search(chunks: DataFrame, query: str, limit: int = 20, fields: str = "full",
         raise ValueError(f"unknown fields mode: {fields}")
     shown = ["chunk_id", "file_id", "kind", "ident", "start_line", "end_line"] + ["content"] * (fields == "full")
     if index is None:
-        index = postings(chunks, keep=_wanted([u for g in textquery.parse(query) for u in g]))
-    best = ranked(index, lengths(chunks), query)
+        index = SearchIndex(postings(chunks, keep=_wanted([u for g in textquery.parse(query) for u in g])), lengths(chunks))
+    best = ranked(index.postings, index.lengths, query)
     if best is None:
         return chunks.select(*shown).withColumn("score", F.lit(0.0)).limit(0)
     score = F.round("score", 9)
     top = best.select("chunk_id", score.alias("score")).orderBy("score", "chunk_id").limit(limit)
-    return F.broadcast(top).join(chunks.select(*shown), "chunk_id").select(*shown, "score")
+    return (F.broadcast(top) if limit <= SMALL_ANSWER else top).join(chunks.select(*shown), "chunk_id").select(*shown, "score")
 
 
-def search_summary(chunks: DataFrame, query: str, limit: int = 20, fields: str = "full") -> DataFrame:
+def search_summary(chunks: DataFrame, query: str, limit: int = 20, fields: str = "full", index: SearchIndex | None = None) -> DataFrame:
     """(hits, file_count, tokens) of a search's answer."""
-    found = search(chunks, query, limit, fields)
+    found = search(chunks, query, limit, fields, index)
     size = F.octet_length("content") if fields == "full" else F.lit(0)
     asked = -(-len(query.encode()) // 4)
     return found.agg(F.count("*").alias("hits"), F.countDistinct("file_id").alias("file_count"), (F.lit(asked) + F.floor(F.coalesce(F.sum(size), F.lit(0)) / 4)).cast("long").alias("tokens"))

@@ -118,14 +118,20 @@ def file_sizes(files: DataFrame, chunks: DataFrame, refs: DataFrame, symbol: str
     return files.join(defining.union(referring).distinct(), "file_id", "left_semi").agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"))
 
 
+#: Lines of a file that are joined as one.
+STRETCH = 128
+
+
 def innermost(chunks: DataFrame, places: DataFrame) -> DataFrame:
     """Rows of ``places`` (file_id, line, ...) with ``chunk_id`` of the innermost chunk around their line; rows in no chunk are dropped.
 
-    Joined on the file, with the interval as a filter; of several chunks the latest start wins, then the greatest chunk_id.  The
-    winner is taken by a partial aggregate, not by sorting the candidates.
+    Joined on the file and the stretch of ``STRETCH`` lines, with the interval as a filter, so a place of a large file meets the chunks of
+    its stretch only; of several chunks the latest start wins, then the greatest chunk_id.  The winner is taken by a partial aggregate, not by
+    sorting the candidates.
     """
-    spans = chunks.select("file_id", "start_line", "end_line", "chunk_id").distinct()
-    keyed = places.withColumn("_row", F.struct(*places.columns))
-    met = keyed.join(spans, "file_id").where("line BETWEEN start_line AND end_line")
+    stretches = F.sequence(F.floor(F.col("start_line") / STRETCH).cast("int"), F.floor(F.col("end_line") / STRETCH).cast("int"))
+    spans = chunks.where("end_line >= start_line").select("file_id", "start_line", "end_line", "chunk_id").distinct().withColumn("_stretch", F.explode(stretches))
+    keyed = places.withColumn("_row", F.struct(*places.columns)).withColumn("_stretch", F.floor(F.col("line") / STRETCH).cast("int"))
+    met = keyed.join(spans, ["file_id", "_stretch"]).where("line BETWEEN start_line AND end_line")
     best = met.groupBy("_row").agg(F.max(F.struct("start_line", "chunk_id"))["chunk_id"].alias("chunk_id"))
     return best.select("_row.*", "chunk_id")

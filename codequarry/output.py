@@ -40,8 +40,8 @@ def to_table(name: str, rows: Sequence[dict]) -> str:
 
 
 def answer(df: DataFrame, form: str = "json", name: str = "results") -> str:
-    """The rows of a bounded result as text."""
-    rows = [r.asDict(recursive=True) for r in df.collect()]
+    """The rows of a result as text; rows beyond the longest answer, which could not be sent, are not fetched (a row takes 2 bytes at least)."""
+    rows = [r.asDict(recursive=True) for r in df.limit(MAX_RESPONSE // 2).collect()]
     if form == "table":
         return to_table(name, rows)
     return to_json({name: rows}, form == "pretty")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codequarry.functions import columns as C
 from codequarry.operators import content, graph, overview, quality, refresh, savings, search, symbols
-from codequarry.plans.workspace import materialised, spread
+from codequarry.plans.workspace import FileStore, materialised, new_folder, spread
 from codequarry.sources import parsers
 from codequarry.streaming import refresh as streaming
 
@@ -20,10 +20,10 @@ class Tables:
     """The tables of a folder, read on demand."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self._folder = spark, folder
+        self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def target(self) -> str:
         """The name with the most references (ties: the least name)."""
@@ -67,9 +67,7 @@ def scan_files_hash(t: Tables) -> DataFrame:
 @query("""SELECT path, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext, coalesce(m.lang, 'unknown') AS mapped FROM files f
 LEFT JOIN lang_map m ON m.ext = lower(regexp_extract(path, '\\.([^./]+)$', 1))""")
 def lang_map(t: Tables) -> DataFrame:
-    ext = C.extension("path")
-    known = t.lang_map.select("ext", F.col("lang").alias("known"))
-    return t.files.select("path", ext.alias("ext")).join(known, "ext", "left").select("path", "ext", F.coalesce("known", F.lit("unknown")).alias("mapped"))
+    return t.files.select("path", C.extension("path").alias("ext"), C.language("path").alias("mapped"))
 
 
 @query("""SELECT path, CASE WHEN contains(lower(path), '/pages/') OR contains(lower(path), '/app/') THEN 'page'
@@ -498,7 +496,20 @@ def parse_references(t: Tables) -> DataFrame:
     return refs.groupBy("ref_kind").agg(F.count("*").alias("refs"), F.countDistinct("target_ident").alias("targets"))
 
 
-@query()
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"('{ext}', '{lang}', '{parser}')"
+        for exts, lang, parser in [
+            ("rs", "rust", "code"), ("go", "go", "code"), ("java", "java", "code"), ("cs", "csharp", "code"), ("py pyi", "python", "code"), ("php", "php", "code"), ("js jsx", "javascript", "code"),
+            ("ts", "typescript", "code"), ("tsx", "tsx", "code"), ("html", "html", "code"), ("css", "css", "code"), ("md markdown", "markdown", "markdown"), ("pdf", "pdf", "pdf"), ("yaml yml", "yaml", "yaml"),
+            ("toml", "toml", "toml"), ("json", "json", "json"), ("sh bash", "bash", "plaintext"), ("sql", "sql", "plaintext"), ("xml csproj fsproj vbproj props targets", "xml", "plaintext"), ("c h", "c", "plaintext"), ("cpp hpp", "cpp", "plaintext"),
+            ("txt rst ini cfg properties proto graphql gql tf hcl sln gradle kts", "plaintext", "plaintext"),
+        ]
+        for ext in exts.split()
+    )
+    + ") AS t(ext, lang, parser)"
+)
 def supported_extensions(t: Tables) -> DataFrame:
     return parsers.supported_extensions(t.spark)
 
@@ -531,23 +542,55 @@ def test_chunk_flags(t: Tables) -> DataFrame:
 _EDGES = "e AS (SELECT DISTINCT c.ident AS caller, f.path, r.target_ident AS target FROM refs r JOIN chunks c USING (chunk_id) JOIN files f USING (file_id))"
 
 
-@query(f"""WITH {_EDGES}, a AS (SELECT DISTINCT caller, path FROM e WHERE target = {_TARGET}),
-b AS (SELECT DISTINCT caller, path FROM e WHERE target IN (SELECT caller FROM a WHERE caller <> {_TARGET})),
-c AS (SELECT DISTINCT caller, path FROM e WHERE target IN (SELECT caller FROM b WHERE caller <> {_TARGET} AND caller NOT IN (SELECT caller FROM a)))
-SELECT caller AS symbol, path, min(d) AS depth FROM (SELECT *, 1 AS d FROM a UNION ALL SELECT *, 2 FROM b UNION ALL SELECT *, 3 FROM c) GROUP BY ALL""")
+#: The test tables have no tests; functions whose name ends in 'a' are taken as some, by attributes put in here.
+_MARK = "#[test] @Test @pytest"
+_GRAPH = f"""WITH e AS (SELECT DISTINCT c.ident AS caller, f.path, f.lang, r.target_ident AS target, CASE WHEN ends_with(c.ident, 'a') THEN '{_MARK}' END AS attributes
+  FROM refs r JOIN chunks c USING (chunk_id) JOIN files f USING (file_id)),
+g AS (SELECT caller, path, target, ({_TESTCHUNK.replace("ident", "caller")}) OR ({_TESTFILE}) AS is_test FROM (SELECT *, path AS p, split_part(path, '/', -1) AS n FROM e)),
+a AS (SELECT DISTINCT caller, path, is_test FROM g WHERE target = {_TARGET}),
+n1 AS (SELECT DISTINCT caller FROM a WHERE NOT is_test AND caller <> {_TARGET}),
+b AS (SELECT DISTINCT caller, path, is_test FROM g WHERE target IN (SELECT caller FROM n1)),
+n2 AS (SELECT DISTINCT caller FROM b WHERE NOT is_test AND caller <> {_TARGET} AND caller NOT IN (SELECT caller FROM n1)),
+c AS (SELECT DISTINCT caller, path, is_test FROM g WHERE target IN (SELECT caller FROM n2)),
+reached AS (SELECT caller AS symbol, path, min(d) AS depth, bool_or(is_test) AS is_test FROM (SELECT *, 1 AS d FROM a UNION ALL SELECT *, 2 FROM b UNION ALL SELECT *, 3 FROM c) GROUP BY ALL)
+"""
+
+
+def _marked(t: Tables) -> DataFrame:
+    return t.chunks.withColumn("attributes", F.when(F.col("ident").endswith("a"), _MARK))
+
+
+@query(_GRAPH + "SELECT symbol, path, depth, is_test FROM reached")
 def transitive_callers(t: Tables) -> DataFrame:
-    edges = materialised(graph.edges(t.files, t.chunks, t.refs).withColumn("attributes", F.lit(None).cast("string")).withColumn("lang", F.lit("")).distinct(), "edges")
-    return graph.transitive_callers(edges, t.target()).select("symbol", "path", "depth")
+    edges = materialised(graph.edges(t.files, _marked(t), t.refs), "edges")
+    return graph.transitive_callers(edges, t.target())
 
 
-@query()
+_COVERS = """(s = t AND s <> '') OR (s <> '' AND length(t) > length(s) AND (
+  (starts_with(t, s) AND (t[length(s) + 1:length(s) + 1] IN ('_', '.') OR (regexp_matches(s[-1:], '[a-z]') AND regexp_matches(t[length(s) + 1:length(s) + 1], '[A-Z]'))))
+  OR (ends_with(t, s) AND (t[length(t) - length(s):length(t) - length(s)] IN ('_', '.') OR (regexp_matches(t[length(t) - length(s):length(t) - length(s)], '[a-z]') AND regexp_matches(s[1:1], '[A-Z]'))))))"""
+
+
+@query(
+    f"""WITH every AS (SELECT path, lang FROM files UNION ALL SELECT split_part(path, '/', 1) || '/tests/test_' || regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') || '.py', lang FROM files WHERE lang = 'python'),
+r AS (SELECT path, lang, split_part(path, '/', 1) AS repo, path[length(split_part(path, '/', 1)) + 2:] AS p, split_part(path, '/', -1) AS n, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') AS stem FROM every),
+f AS (SELECT *, {_TESTFILE} AS is_test FROM r)
+SELECT DISTINCT a.path AS source, b.path AS test FROM (SELECT *, stem AS s FROM f WHERE NOT is_test) a JOIN (SELECT *, stem AS t FROM f WHERE is_test) b USING (repo, lang) WHERE {_COVERS}"""
+)
 def tests_by_naming(t: Tables) -> DataFrame:
-    return graph.tests_of_file(t.files, t.chunks, t.refs)
+    """A test file by the conventions of Python is put beside every Python file; the test tables have none of their own."""
+    test = F.concat(F.substring_index("path", "/", 1), F.lit("/tests/test_"), C.stem("path"), F.lit(".py"))
+    return graph.tests_of_file(t.files.unionByName(t.files.where("lang = 'python'").withColumn("path", test)), t.chunks, t.refs)
 
 
-@query()
+@query(
+    _GRAPH
+    + f""", home AS (SELECT f.path FROM ({ORACLE["type_info_pick"]}) d JOIN files f USING (file_id) WHERE d.ident = {_TARGET}),
+found AS (SELECT caller AS symbol, path, 0 AS k FROM g WHERE target = {_TARGET} AND is_test AND path IN (SELECT path FROM home) UNION ALL SELECT symbol, path, 1 FROM reached WHERE is_test)
+SELECT symbol, path, CASE min(k) WHEN 0 THEN 'direct' ELSE 'transitive' END AS strategy FROM found GROUP BY symbol, path"""
+)
 def tests_impact(t: Tables) -> DataFrame:
-    edges, symbol = materialised(graph.edges(t.files, t.chunks, t.refs), "edges"), t.target()
+    edges, symbol = materialised(graph.edges(t.files, _marked(t), t.refs), "edges"), t.target()
     home = symbols.definitions(t.files, t.chunks).where(F.col("ident") == symbol).join(t.files, "file_id").select("path", "lang").first()
     path, lang = (home["path"], home["lang"]) if home else ("", "")
     found = graph.transitive_callers(edges, symbol).where("is_test")
@@ -578,9 +621,24 @@ def _ranked(units: list[str], condition: str, limit: int = 20) -> str:
     return _FTS + tf + idf + f"s AS (SELECT chunk_id, round(-({score}), 9) AS score FROM h, i, total WHERE {condition}) SELECT s.chunk_id, c.file_id, c.ident, s.score FROM (SELECT * FROM s ORDER BY score, chunk_id LIMIT {limit}) s JOIN (SELECT DISTINCT chunk_id, file_id, ident FROM chunks) c USING (chunk_id)"
 
 
-def _search(t: Tables, text: str) -> DataFrame:
+#: The search indexes written by this process, by session and folder of tables.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _indexed(t: Tables) -> tuple[DataFrame, search.SearchIndex]:
+    """The chunks, each once, and their search index, which is written by the first query that asks for it."""
     rows = t.chunks.dropDuplicates(["chunk_id"])
-    return search.search(rows, text, fields="minimal").select("chunk_id", "file_id", "ident", "score")
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    path = _WRITTEN.get(key)
+    if path is None or not FileStore(t.spark, path).exists(""):
+        path = _WRITTEN[key] = new_folder(t.spark, "search")
+        search.write_index(rows, path)
+    return rows, search.read_index(t.spark, path)
+
+
+def _search(t: Tables, text: str) -> DataFrame:
+    rows, index = _indexed(t)
+    return search.search(rows, text, fields="minimal", index=index).select("chunk_id", "file_id", "ident", "score")
 
 
 _ONCE = ("FROM chunks)", "FROM (SELECT DISTINCT chunk_id, ident, signature, doc_comment, content FROM chunks))")
@@ -610,9 +668,13 @@ def fts_prefix(t: Tables) -> DataFrame:
     return _search(t, "tick*")
 
 
-@query()
+@query(
+    f"""WITH top AS ({_fts([_count("w = 'ticket'"), _count("w = 'frozen'")], "t0 > 0 OR t1 > 0")}), shown AS (SELECT DISTINCT t.chunk_id, t.file_id, strlen(c.content) AS size FROM top t JOIN chunks c USING (chunk_id))
+SELECT count(*) AS hits, count(DISTINCT file_id) AS file_count, CAST(4 + coalesce(sum(size), 0) // 4 AS BIGINT) AS tokens FROM shown"""
+)
 def fts_summary(t: Tables) -> DataFrame:
-    return search.search_summary(t.chunks.dropDuplicates(["chunk_id"]), "ticket OR frozen")
+    rows, index = _indexed(t)
+    return search.search_summary(rows, "ticket OR frozen", index=index)
 
 
 @query("""SELECT term, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(doc_comment, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM chunks) GROUP BY term""")

@@ -120,6 +120,10 @@ class FileStore:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def exists(self, name: str) -> bool:
+        path = self._path(name)
+        return path.getFileSystem(self._conf).exists(path)
+
     def read_text(self, name: str) -> str | None:
         """The file's text, or None where there is none."""
         path = self._path(name)

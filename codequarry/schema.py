@@ -21,14 +21,15 @@ CHUNK_KINDS = ["fn", "method", "struct", "enum", "enum_variant", "trait", "impl"
 REF_KINDS = ["call", "import", "type_use", "field_access"]
 LANGUAGES = {
     "rust": ["rs"], "go": ["go"], "java": ["java"], "csharp": ["cs"], "python": ["py", "pyi"], "php": ["php"],
-    "javascript": ["js", "jsx", "mjs", "cjs"], "typescript": ["ts", "mts", "cts"], "tsx": ["tsx"], "html": ["html", "htm"], "css": ["css", "scss"],
+    "javascript": ["js", "jsx"], "typescript": ["ts"], "tsx": ["tsx"], "html": ["html", "htm"], "css": ["css"],
     "markdown": ["md", "markdown"], "pdf": ["pdf"], "yaml": ["yaml", "yml"], "toml": ["toml"], "json": ["json"], "bash": ["sh", "bash"], "sql": ["sql"],
-    "xml": ["xml", "csproj", "props", "targets", "config"], "c": ["c", "h"], "cpp": ["cpp", "hpp", "cc", "cxx"],
-    "plaintext": ["txt", "ini", "proto", "tf", "env", "cfg", "conf"],
+    "xml": ["xml", "csproj", "fsproj", "vbproj", "props", "targets"], "c": ["c", "h"], "cpp": ["cpp", "hpp", "cc", "cxx"],
+    "plaintext": ["txt", "rst", "ini", "cfg", "properties", "proto", "graphql", "gql", "tf", "hcl", "sln", "gradle", "kts"],
 }
 EXTENSIONS = {ext: lang for lang, exts in LANGUAGES.items() for ext in exts}
 SUPPORTED = [ext for ext in EXTENSIONS if ext not in ("htm", "cc", "cxx")]
-SKIPPED_FOLDERS = ["node_modules", "target", "dist", "build", "vendor", "__pycache__", ".git", ".venv", "venv", "out"]
+# Folders that are never walked.
+SKIPPED_FOLDERS = ["node_modules", "target", "dist", "build", "vendor", "__pycache__", ".git", ".venv", "venv"]
 MAX_FILE_MB = 10
 CODE_LANGUAGES = ["rust", "go", "java", "csharp", "python", "php", "javascript", "typescript", "tsx", "html", "css"]
 PARSERS = {lang: "code" if lang in CODE_LANGUAGES else lang if lang in ("markdown", "pdf", "yaml", "toml", "json") else "plaintext" for lang in LANGUAGES}

@@ -136,3 +136,75 @@ def test_stream_of_scans(spark, tmp_path):
         query = streaming.track_changes(spark, f"{tmp_path}/in", tracker, f"{tmp_path}/checkpoint")
         query.awaitTermination()
     assert [tuple(r) for r in tracker.state().collect()] == [("r", "r/a", "h")] and tracker.pointer()["version"] == 1
+
+
+def test_scan_states(spark, project, tmp_path, monkeypatch):
+    """Unchanged files are not read, ignored ones not indexed, and files that are too large or not UTF-8 keep their record."""
+    index = Index(spark, f"file://{tmp_path}/index")
+    said = []
+    states = lambda: {r["state"]: r["files"] for r in index.index(project, progress=lambda stage, n: said.append((stage, n))).collect()}
+    assert states() == {"added": 2} and ("read", 2) in said and {r["path"] for r in index.files.collect()} == {"src/lib.rs", "readme.md"}
+    said.clear()
+    assert states() == {"clean": 2} and ("read", 0) in said
+    os.utime(os.path.join(project, "readme.md"), (1, 1))
+    assert states() == {"clean": 1, "touched": 1} and states() == {"clean": 2}
+    with open(os.path.join(project, "readme.md"), "wb") as file:
+        file.write(b"\xff\xfe# x")
+    assert states() == {"clean": 1, "failed": 1} and index.files.count() == 2
+    monkeypatch.setattr(scan.schema, "MAX_FILE_MB", 1e-5)
+    rows, _ = scan.walk_rows(project, 1e-5)
+    assert {r[5] for r in rows if r[0] == "src/lib.rs"} == {"too_large"}
+    os.unlink(os.path.join(project, "readme.md"))
+    assert {r["state"] for r in index.index(project, walk_had_errors=True).collect()} == {"clean", "kept"}
+    assert {r["state"] for r in index.index(project).collect()} == {"clean", "deleted"}
+
+
+def test_shared_tree_follows_the_same_rules(spark, project):
+    rules = scan.IgnoreRules.of_files({"": "*.log\n!keep.log\n/only.py\n", "src": "gen/\n"})
+    paths = {"a.log": True, "keep.log": False, "only.py": True, "src/only.py": False, "src/gen/x.rs": True, "gen/x.rs": False, "node_modules/x.js": True, ".hidden/x.rs": True, "src/.x.rs": True, "src/lib.rs": False, "build": False}
+    assert {p: rules.passes_over(p) for p in paths} == paths
+    some = spark.createDataFrame([("src/lib.rs",), ("data.bin",)], "path string")
+    assert [r["path"] for r in scan.contents(spark, project, some).collect()] == ["src/lib.rs"]
+    assert scan.contents(spark, project, some.limit(0)).count() == 0
+
+
+def test_reindex_and_conflict(spark, project, tmp_path):
+    from codequarry.session import Conflict
+
+    index = Index(spark, f"file://{tmp_path}/index")
+    index.index(project)
+    with open(os.path.join(project, "src/lib.rs"), "a") as file:
+        file.write("fn third() {}\n")
+    seen = index.reindex_file(project, "src/lib.rs", preview=True, symbol="third")
+    assert (seen["state"], seen["chunks"] >= 3, "fn third" in seen["preview"]) == ("modified", True, True) and index.chunks.where("ident = 'third'").count() == 0
+    assert index.reindex_file(project, "src/lib.rs")["symbols"].count("third") == 1 and index.chunks.where("ident = 'third'").count() == 1
+    version = index.pointer()["version"]
+    assert index.commit(index.files, index.chunks, index.refs, version) == version + 1
+    with pytest.raises(Conflict):
+        index.commit(index.files, index.chunks, index.refs, version)
+    with pytest.raises(LookupError):
+        index.reindex_file(project, "src/none.rs")
+    with pytest.raises(LookupError):
+        index.deps("src/none.rs")
+    assert [r["content"] for r in index.context("helper").first()["bodies"]] == ["fn helper(a: u32) -> u32 { a }"]
+    assert {r["changed"] for r in index.diff(project, "src/lib.rs", "helper").collect()} == {False}
+
+
+def test_impact_and_ledger(spark, tmp_path):
+    root = tmp_path / "q"
+    (root / "src").mkdir(parents=True)
+    (root / "Cargo.toml").write_text("[package]\n")
+    (root / "src/lib.rs").write_text("pub fn add(a: u32) -> u32 { a }\n\nfn adds() { add(1); }\n\n#[test]\nfn checks() { adds(); }\n")
+    index = Index(spark, f"file://{tmp_path}/index")
+    index.index(str(root))
+    found = index.analyse_tests(str(root), "add", "src/lib.rs")
+    assert [(r["symbol"], r["strategy"]) for r in found["tests"]] == [("checks", "transitive")]
+    assert (found["confirmed"], found["warning"], found["command"], found["similar"]) == (1, None, "cargo test checks", ["adds"])
+    index.charge("read", 40, "src/lib.rs", "add")
+    index.charge("refs", 40, symbol="add")
+    index.charge("overview", 40)
+    index.charge("verify", 40, fixed=7)
+    index.charge_edit("insert", 4000, 0, 200, 40)
+    rows = {r["command"]: r for r in spark.read.parquet(f"file://{tmp_path}/index/savings").collect()}
+    assert rows["verify"]["alternative_tokens"] == 7 and rows["read"]["alt_calls"] == 2 and rows["insert"]["alternative_tokens"] == 1095 and rows["refs"]["files_touched"] == 1
+    assert index.savings().first()["operations"] == 5
