@@ -40,15 +40,8 @@ class Node:
 
 
 def _indent(line: bytes) -> int:
-    width = 0
-    for byte in line:
-        if byte == 32:
-            width += 1
-        elif byte == 9:
-            width += 4
-        else:
-            break
-    return width
+    blanks = line[: len(line) - len(line.lstrip(b" \t"))]
+    return len(blanks) + 3 * blanks.count(b"\t")
 
 
 def _blocks(lines: list[bytes], first: int, last: int) -> list[Node]:
@@ -64,30 +57,29 @@ def _blocks(lines: list[bytes], first: int, last: int) -> list[Node]:
     return out
 
 
-def _by_indent(lines: list[bytes], first: int, last: int, depth: int = 0) -> list[Node]:
-    """Each line with the deeper-indented lines below it; a closing bracket belongs to its opener.  Beyond DEEPEST levels lines are a run."""
+def _by_indent(indents: list[int], closes: list[bool], offsets: list[int], least: int, first: int, last: int, depth: int = 0) -> list[Node]:
+    """Each line with the deeper-indented lines below it; a closing bracket belongs to its opener.  Beyond DEEPEST levels lines are a run.
+
+    ``indents`` are those of all lines, -1 for blank ones; ``closes`` tells which lines start with a closing bracket.  Nodes of up to
+    ``least`` bytes are never opened, so they get no children.
+    """
     if last - first == 1 or depth > DEEPEST:
         return [Node(first, last)]
-    shallow = min((_indent(x) for x in lines[first:last] if x.strip()), default=0)
-    out, start = [], first
-    for i in range(first + 1, last):
-        line = lines[i]
-        if line.strip() and _indent(line) <= shallow and line.lstrip()[:1] not in b"}])":
-            out.append(Node(start, i))
-            start = i
-    out.append(Node(start, last))
-    if len(out) == 1 and out[0].first == first and not any(_indent(x) > shallow for x in lines[first:last] if x.strip()):
+    shallow = min((indents[i] for i in range(first, last) if indents[i] >= 0 and not closes[i]), default=0)
+    starts = [first, *(i for i in range(first + 1, last) if 0 <= indents[i] <= shallow and not closes[i])]
+    out = [Node(a, b) for a, b in zip(starts, [*starts[1:], last], strict=True)]
+    if len(out) == 1 and not any(indents[i] > shallow and not closes[i] for i in range(first, last)):
         return [Node(i, i + 1) for i in range(first, last)]
     for node in out:
-        if node.last - node.first > 1:
-            inner = _by_indent(lines, node.first + 1, node.last, depth + 1)
-            node.children = [Node(node.first, node.first + 1), *inner]
+        if node.last - node.first > 1 and offsets[node.last] - offsets[node.first] > least:
+            node.children = [Node(node.first, node.first + 1), *_by_indent(indents, closes, offsets, least, node.first + 1, node.last, depth + 1)]
     return out
 
 
-def _code_tree(lines: list[bytes]) -> list[Node]:
+def _code_tree(lines: list[bytes], offsets: list[int], least: int) -> list[Node]:
     """The nodes by indentation, grouped by the blocks between blank lines in one merged pass."""
-    nodes, grouped, at = _by_indent(lines, 0, len(lines)), [], 0
+    indents = [_indent(x) if x.strip() else -1 for x in lines]
+    nodes, grouped, at = _by_indent(indents, [x.lstrip()[:1] in (b"}", b"]", b")") for x in lines], offsets, least, 0, len(lines)), [], 0
     for block in _blocks(lines, 0, len(lines)):
         goes_on = at > 0 and nodes[at - 1].last > block.first  # a blank line within one node: its group goes on
         stop = at
@@ -183,7 +175,7 @@ def split_bytes(data: bytes, markup: bool = False, limit: int = LIMIT) -> list[t
     offsets = [0]
     for line in lines:
         offsets.append(offsets[-1] + len(line))
-    tree = _markdown_tree(lines) if markup else _code_tree(lines)
+    tree = _markdown_tree(lines) if markup else _code_tree(lines, offsets, limit // 2)
     pieces: list[tuple[int, int]] = []
     start = done = 0  # of the open piece: its start with the overlap, and up to where it is filled
 
