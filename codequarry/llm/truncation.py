@@ -40,6 +40,9 @@ TERMINATED_SHARE, TERMINATED_ROWS = 0.2, 20
 _MARKS = re.compile(r"\s*(?:\(\s*(?:truncated|continued|cut|more|shortened|abridged)\s*\)|\[\s*(?:\.\.\.|…|truncated|cut|snip|more)\s*\]|<\s*(?:truncated|snip)\s*>)\s*$", re.I)
 _DOTS = re.compile(r"\s*(?:…|\.\.\.)\s*$")
 _BROKEN = re.compile(r"(?:\ufffd|[\ud800-\udfff]|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?[A-Za-z0-9]{1,6}|%[0-9A-Fa-f]?)\Z")
+_ENTITY = re.compile(r"&(?:#\d*|[a-z]{1,3})\Z")
+#: Marks of omission, escapes and the like are shorter than this.
+END = 400
 _ENTITY_TAIL = re.compile(r"&#?[A-Za-z0-9]{1,6}\Z|%[0-9A-Fa-f]?\Z")
 _FENCE = re.compile(r"^ {0,3}(```+|~~~+)")
 #: A fence opens at the end of a line, also behind other words; it closes at the start of one, whatever follows.
@@ -122,13 +125,16 @@ def examine(text: str | None, kind: str | None = None) -> tuple[str, str, str]:
     """
     if text is None or not text.strip():
         return "", "", ""
-    if _BROKEN.search(text) and not _ENTITY_TAIL.search(text) or re.search(r"&(?:#\d*|[a-z]{1,3})\Z", text):
+    last, full = text[-END:], text.rstrip()  # patterns that are tied to the end are sought there
+    if _BROKEN.search(last) and not _ENTITY_TAIL.search(last) or _ENTITY.search(last):
         return "broken", "", ""
-    if _MARKS.search(text):
+    last = full[-END:]
+    if _MARKS.search(last):
         return "marked", "", ""
+    dots = _DOTS.search(last)
     if (kind == "code" and not _PROSE_END.search(text)) or (kind is None and looks_like_code(text)):
-        return ("dots", "", "") if _DOTS.search(text) else _code_end(text, kind)
-    body, dots = _DOTS.subn("", text)
+        return ("dots", "", "") if dots else _code_end(text, kind)
+    body = full[: len(full) - len(last) + dots.start()] if dots else text
     fence, start = None, 0
     for match in _FENCES.finditer(body):
         if fence is None:
