@@ -17,28 +17,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: The most keys that are settled by broadcast; their size is bounded by this number.
 HOT_KEYS = 64
 _SKETCH = 4096
 
 
-def hot_keys(df: DataFrame, column: str, most: int = HOT_KEYS) -> list:
-    """Keys of ``column`` that hold at least a thousandth of the non-null rows by the sketch's estimate; at most ``most``."""
-    row = df.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{column}`, {most}, {_SKETCH})").alias("top")).first()
+def hot_keys(df: DataFrame, key: Column, most: int = HOT_KEYS) -> list:
+    """Values of ``key`` that hold at least a thousandth of the non-null rows by the sketch's estimate; at most ``most``."""
+    rows = df.select(key.alias("_key")).where("_key IS NOT NULL")
+    row = rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(_key, {most}, {_SKETCH})").alias("top")).first()
     return [x["item"] for x in row["top"] or [] if x["count"] * 1000 >= row["n"] and x["count"] > 10_000]
 
 
 def _anti(child: DataFrame, parent: DataFrame, columns: list[str], spread: bool) -> DataFrame:
-    """Rows of child without a parent that agrees on ``columns`` (all non-null)."""
+    """Rows of child without a parent that agrees on ``columns`` (all non-null).
+
+    Composite keys are weighed by their hash; the join is on the columns themselves, so a collision costs nothing but its way.
+    """
     parent = parent.select(*columns)
-    if not spread or len(columns) != 1:
-        return child.join(parent, columns, "left_anti")
-    hot = hot_keys(child, columns[0])
+    key = F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
+    hot = hot_keys(child, key) if spread else []
     if not hot:
         return child.join(parent, columns, "left_anti")
-    is_hot = F.col(columns[0]).isin(hot)
+    is_hot = key.isin(hot)
     few = F.broadcast(parent.where(is_hot).distinct())
     return child.where(is_hot).join(few, columns, "left_anti").unionByName(child.where(~is_hot).join(parent.where(~is_hot), columns, "left_anti"))
 
@@ -84,6 +87,17 @@ def index_orphans(files: DataFrame, chunks: DataFrame, refs: DataFrame, purges:
     )
 
 
+def parent_orphans(chunks: DataFrame, match: str = "partial") -> DataFrame:
+    """(chunk_id, named): chunks whose (file_id, parent) names no chunk by (file_id, ident); ``named`` tells which of the two are not null.
+
+    Both columns may be null: a parent without a file may lie in any, a file without a parent only has to have chunks.
+    """
+    rows = chunks.select("chunk_id", "file_id", "parent").distinct()
+    held = chunks.select("file_id", F.col("ident").alias("parent")).distinct()
+    named = F.when(F.col("file_id").isNull(), "parent").when(F.col("parent").isNull(), "file").otherwise("file, parent")
+    return orphans(rows, held, ["file_id", "parent"], match).select("chunk_id", named.alias("named")).distinct()
+
+
 def orphan_report(found: DataFrame) -> DataFrame:
     """(rel, day, orphans): distinct dangling rows per table and day of ``indexed_at``."""
     return found.select("rel", "row_id", F.to_date("indexed_at").alias("day")).distinct().groupBy("rel", "day").agg(F.count("*").alias("orphans"))

@@ -33,6 +33,10 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, folder))
 
 
+def p2_parents(spark: SparkSession, folder: str) -> DataFrame:
+    return orphans.parent_orphans(table(spark, folder, "chunks"))
+
+
 _P1 = """
 WITH ok AS (
   SELECT run_id, repo, clean, step, sum(clean) OVER (PARTITION BY repo ORDER BY step) AS clean_so_far
@@ -64,7 +68,7 @@ found AS (
   WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM live_chunks))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_record": p1_record, "p2_found": p2_found, "p2_report": p2_report}
+QUERIES = {"p1_found": p1_found, "p1_record": p1_record, "p2_found": p2_found, "p2_report": p2_report, "p2_parents": p2_parents}
 
 ORACLE = {
     "p1_found": _P1 + "SELECT run_id, path FROM hashed WHERE before IS NULL OR missed <> missed_before OR hash <> before",
@@ -74,6 +78,9 @@ ORACLE = {
     held AS (SELECT repo, path, arg_max(hash, step) AS hash, arg_max(missed, step) AS missed FROM hashed GROUP BY repo, path)
     SELECT h.repo, h.path, h.hash FROM held h JOIN final f USING (repo, path) JOIN total t USING (repo)
     WHERE h.missed = f.missed_last AND t.all_clean = f.at_last""",
+    "p2_parents": """SELECT DISTINCT chunk_id, CASE WHEN file_id IS NULL THEN 'parent' WHEN parent IS NULL THEN 'file' ELSE 'file, parent' END AS named FROM chunks c
+    WHERE (file_id IS NOT NULL AND parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks p WHERE p.file_id = c.file_id AND p.ident = c.parent))
+       OR (file_id IS NULL AND parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks p WHERE p.ident = c.parent))""",
     "p2_found": _P2 + "SELECT DISTINCT rel, row_id FROM found",
     "p2_report": _P2 + "SELECT rel, day, count(*) AS orphans FROM found GROUP BY ALL",
 }

@@ -13,7 +13,7 @@ import re
 import tomllib
 import warnings
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 from html.parser import HTMLParser
 
@@ -329,6 +329,16 @@ def _value_type(value: object) -> str:
     return {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}.get(type(value), "string")
 
 
+def value_preview(value: object, most: int = 40) -> str:
+    """A value in a few signs: containers by their size, texts up to ``most`` characters."""
+    if isinstance(value, dict):
+        return f"{{{len(value)} keys}}"
+    if isinstance(value, list):
+        return f"[{len(value)} items]"
+    text = json.dumps(value, ensure_ascii=False, default=str)
+    return text if len(text) <= most else text[: most - 1] + "…"
+
+
 def parse_tree(text: str, value: object, form: str) -> Parsed:
     """Entries of a tree of values as chunks; every path once, containers and upper or important keys only."""
     out = Parsed()
@@ -354,7 +364,7 @@ def parse_tree(text: str, value: object, form: str) -> Parsed:
             here = f"{path}.{key}" if path else key
             start, end = find(key, after)
             if isinstance(child, dict | list) or depth < 2 or key in _IMPORTANT:
-                out.chunks.append(Chunk(_value_type(child), here, start, max(start, end), path or None, f'"{key}": {_value_type(child)}' if form == "json" else f"{key} {'=' if form == 'toml' else ':'} {_value_type(child)}"))
+                out.chunks.append(Chunk(_value_type(child), here, start, max(start, end), path or None, f'"{key}": {value_preview(child)}' if form == "json" else f"{key} {'=' if form == 'toml' else ':'} {value_preview(child)}"))
             if depth < _DEPTH:
                 if isinstance(child, dict):
                     walk(child, here, depth + 1, start)
@@ -446,8 +456,25 @@ def parse_css(text: str) -> Parsed:
     return out
 
 
-def parse(text: str, lang: str) -> Parsed:
+#: Parsers that users of the library have added, by language; they are sent to the executors with the work.
+_ADDED: dict[str, Callable[[str], Parsed]] = {}
+
+
+def register(lang: str, parser: Callable[[str], Parsed], extensions: Iterable[str] = ()) -> None:
+    """Have the texts of a language parsed by ``parser``, and files of these extensions taken as texts of it."""
+    _ADDED[lang] = parser
+    for ext in extensions:
+        schema.EXTENSIONS[ext] = lang
+        schema.LANGUAGES.setdefault(lang, []).append(ext)
+        schema.SUPPORTED.append(ext)
+    schema.PARSERS[lang] = "added"
+
+
+def parse(text: str, lang: str, added: dict[str, Callable[[str], Parsed]] | None = None) -> Parsed:
     """Chunks and references of a text by its language; languages without a parser are plain text."""
+    own = (_ADDED if added is None else added).get(lang)
+    if own is not None:
+        return own(text)
     if lang in _BRACE_LANGUAGES:
         return parse_braces(text, lang)
     if lang == "python":
@@ -470,9 +497,9 @@ def valid(text: str, lang: str) -> bool:
     return lang not in schema.CODE_LANGUAGES or parse(text, lang).quality == "complete"
 
 
-def rows_of(text: str, lang: str) -> tuple[list[dict], list[dict], str]:
+def rows_of(text: str, lang: str, added: dict[str, Callable[[str], Parsed]] | None = None) -> tuple[list[dict], list[dict], str]:
     """(chunk rows, reference rows, quality) with byte offsets, lines and, for references, the position of their innermost chunk."""
-    parsed = parse(text, lang)
+    parsed = parse(text, lang, added)
     breaks = [m.start() for m in re.finditer("\n", text)]
     ascii_ = text.isascii()
 
@@ -505,12 +532,14 @@ def parse_sources(sources: DataFrame) -> DataFrame:
     chunk = "struct<seq:int,start_line:int,end_line:int,start_byte:int,end_byte:int,kind:string,ident:string,parent:string,signature:string,visibility:string,doc_comment:string,attributes:string,content:string>"
     ref = "struct<chunk:int,target_ident:string,ref_kind:string,line:int,col:int>"
 
+    added = dict(_ADDED)
+
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for key, lang, text in part.itertuples(index=False):
                 try:
-                    chunks, refs, quality = rows_of(text or "", lang)
+                    chunks, refs, quality = rows_of(text or "", lang, added)
                 except Exception:  # noqa: BLE001 - one file must not stop the others
                     chunks, refs, quality = [], [], "failed"
                 rows.append((key, quality, [{"seq": i} | {c: r[c] for c in _COLUMNS} for i, r in enumerate(chunks)], refs))

@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from codequarry.operators import orphans
 
 CHILD = "id long, a string, b string, extra string"
@@ -26,9 +28,13 @@ def test_empty_sides(spark):
 def test_hot_keys_take_the_broadcast_way(spark):
     child = spark.range(40_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN 'gone' ELSE 'k' || id END AS a")
     parent = spark.createDataFrame([("hot",), ("k2",)], "a string")
-    assert set(orphans.hot_keys(child, "a")) == {"hot", "gone"}
+    assert set(orphans.hot_keys(child, F.col("a"))) == {"hot", "gone"}
     found = orphans.orphans(child, parent, ["a"])
     assert found.count() == child.where("a <> 'hot' AND a <> 'k2'").count()
+    pairs = child.withColumn("b", F.when(F.col("id") % 5 > 0, F.lit("x")))
+    both = parent.withColumn("b", F.lit("x"))
+    assert len(orphans.hot_keys(pairs, F.xxhash64("a", "b"))) >= 2
+    assert orphans.orphans(pairs, both, ["a", "b"], "partial").count() == found.count()
 
 
 def test_purges(spark):

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from codequarry.functions import columns as C
 from codequarry.sources import parsers
 
 SAMPLES = {
@@ -68,3 +69,22 @@ def test_on_spark(spark):
     assert parsers.chunk_rows(parsed).count() == 8 and parsers.chunk_rows(parsed).select("chunk_id").distinct().count() == 8
     assert parsers.ref_rows(parsed).count() > 0
     assert parsers.supported_extensions(spark).count() > 40
+
+
+def test_added_parser(spark, monkeypatch):
+    from codequarry import schema
+
+    for name in ("LANGUAGES", "EXTENSIONS", "PARSERS"):
+        monkeypatch.setattr(schema, name, dict(getattr(schema, name)))
+    monkeypatch.setattr(schema, "SUPPORTED", list(schema.SUPPORTED))
+    monkeypatch.setattr(parsers, "_ADDED", {})
+    parsers.register("notes", lambda text: parsers.Parsed([parsers.Chunk("section", text.split()[0], 0, len(text))]), ["note"])
+    rows = spark.createDataFrame([(1, "notes", "hello there"), (2, "notes", "")], "file_id long, lang string, content string")
+    parsed = parsers.parse_sources(rows)
+    assert [(r["ident"], r["content"]) for r in parsers.chunk_rows(parsed).collect()] == [("hello", "hello there")]
+    assert {r["file_id"]: r["parse_quality"] for r in parsed.collect()} == {1: "complete", 2: "failed"}
+    assert spark.createDataFrame([("a/b.note",)], "path string").select(C.language("path"), C.supported("path")).first()[:] == ("notes", True)
+
+
+def test_value_previews():
+    assert [parsers.value_preview(v) for v in ({"a": 1}, [1, 2], "x", None, 1.5)] == ["{1 keys}", "[2 items]", '"x"', "null", "1.5"] and len(parsers.value_preview("y" * 99)) == 40
